@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, linededup, sharding
+from . import decontam, fitting, huffman, linededup, packing, quality, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,23 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), folds=3, held_out=1)
+    return toxicity.score(docs, model, 0.7).select("doc_id", (fitting.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"), folds=4, held_out=2)
+    return quality.score(docs, model, 0.7).select("doc_id", (fitting.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = huffman.write_files(_table(spark, sf_dir, "documents"))
+    return huffman.read_files(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
     return done.select(
@@ -28,10 +45,18 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), longest=2048)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_line_dedup": op3_line_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op6_quality": op6_quality,
+    "op7_token_output": op7_token_output,
     "op8_decontamination": op8_decontamination,
+    "op9_packing": op9_packing,
 }
 
 #: DuckDB: the words of a text.
