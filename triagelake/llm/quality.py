@@ -24,8 +24,8 @@ from ..operators.scratch import drop, keep
 from .fitting import Logistic, fold, labelled_sample
 
 #: Bytes of a stretch, and the level of compression.
-STRETCH, LEVEL = 4096, 3
-FEATURES = 3
+STRETCH, LEVEL = 1024, 3
+FEATURES = 7
 
 
 @dataclass
@@ -54,13 +54,15 @@ class Sizer:
         if not raw:
             return [0.0] * FEATURES
         parts = [raw[k : k + STRETCH] for k in range(0, len(raw), STRETCH)]
-        good, bad = (sum(len(c.compress(p)) for p in parts) for c in self.by)
-        return [(bad - good) / (bad + good), good / len(raw), len(self.plain.compress(raw)) / len(raw)]
+        good, bad = ([len(c.compress(p)) for p in parts] for c in self.by)
+        each = [(b - g) / (b + g) for g, b in zip(good, bad, strict=True) if g + b > 40] or [0.0]
+        diff, plain = (sum(bad) - sum(good)) / (sum(bad) + sum(good)), len(self.plain.compress(raw)) / len(raw)
+        return [diff, min(each), max(each), sum(good) / len(raw), plain, max(0.0, 0.3 - plain), float(np.log1p(len(raw)))]
 
 
 def train_dictionary(texts: list[str], size: int = 65_536) -> bytes:
     """A dictionary of the texts' common strings; of a few texts, their own bytes."""
-    samples = [raw[k : k + STRETCH] for t in texts for raw in [t.encode("utf-8", "replace")] for k in range(0, len(raw), STRETCH)]
+    samples = [raw[k : k + 4 * STRETCH] for t in texts for raw in [t.encode("utf-8", "replace")] for k in range(0, len(raw), 4 * STRETCH)]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:

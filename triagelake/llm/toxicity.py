@@ -1,9 +1,10 @@
 """Toxicity by Levenshtein automata over a lexicon trie, with context windows.
 
-The lexicon is learned from a bounded sample of labelled rows: the words that
-together explain the documents labelled toxic.  Each word of a text is turned
-into a Levenshtein automaton that runs against the trie of the lexicon, so that
-a misspelled term is found with its distance.  A window around each hit decides
+The lexicon is learned from a bounded sample of labelled rows: the words, and the
+stems of inflected words, that together explain the documents labelled toxic.
+Each word of a text that is no term is turned into a Levenshtein automaton that
+runs against the trie of the lexicon, so that a misspelled term is found with
+its distance.  A window around each hit decides
 between abuse and quotation (quote marks around it, words of reporting) and
 whether it is aimed at someone.  A logistic regression on the sums turns them
 into a score.
@@ -16,7 +17,6 @@ labelled rows the lexicon is empty and every score is the same.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,8 +34,10 @@ REPORTING = frozenset("said says say wrote writes quote quoted quoting called ca
 ADDRESS = frozenset("you your youre u he she they are du dich bist ihr tu toi vous es eres usted".split())
 #: Signs that stand for letters.
 SIGNS = str.maketrans("013457@$!*", "oieastasi*")
-FEATURES = 6
+FEATURES = 8
 WINDOW = 6
+#: A term that ends in this mark is a stem: it stands for every word that starts with it.
+STEM = "*"
 
 
 class Trie:
@@ -107,7 +109,8 @@ def intersect(trie: Trie, word: str, limit: int) -> tuple[str, int] | None:
 
 @dataclass
 class Model:
-    terms: list[str] = field(default_factory=list)
+    #: Terms and stems with their weights from 0 to 1: how much likelier they make label 1.
+    terms: dict[str, float] = field(default_factory=dict)
     innocent: frozenset[str] = frozenset()
     weights: Logistic | None = None
 
@@ -116,104 +119,133 @@ class Matcher:
     """Looks words up in the lexicon, remembering what it has seen."""
 
     def __init__(self, model: Model, memo: int = 200_000) -> None:
-        self.trie, self.innocent, self.memo, self.size = Trie(model.terms), model.innocent, {}, memo
-        self.exact = frozenset(model.terms)
-        self.least, self.most = min(map(len, model.terms), default=0), max(map(len, model.terms), default=0)
+        self.model, self.memo, self.size = model, {}, memo
+        whole = [t for t in model.terms if not t.endswith(STEM)]
+        self.exact, long = frozenset(whole), [t for t in whole if len(t) >= 5]
+        self.stems = {t[:-1]: t for t in model.terms if t.endswith(STEM)}
+        self.stem_sizes = sorted({len(t) for t in self.stems}, reverse=True)
+        self.trie = Trie(long)
+        self.least, self.most = min(map(len, long), default=99) - 1, max(map(len, long), default=0) + 1
+        # One edit leaves the first or the second half of a term as it was, at that end of the word.
+        self.heads = frozenset(t[: len(t) // 2] for t in long)
+        self.tails = frozenset(t[len(t) // 2 :] for t in long)
+        self.head_sizes, self.tail_sizes = (sorted({len(x) for x in h}) for h in (self.heads, self.tails))
 
     def __call__(self, word: str) -> tuple[str, int] | None:
+        """The term that ``word`` is or resembles, and the edits between them."""
         if word in self.exact:
             return word, 0
-        if not self.least - 1 <= len(word) <= self.most + 1 or len(word) < 4 or word in self.innocent:
+        for n in self.stem_sizes:
+            if word[:n] in self.stems and len(word) >= n:
+                return self.stems[word[:n]], 0
+        if not self.least <= len(word) <= self.most or word in self.model.innocent:
             return None
-        found = self.memo.get(word, 0)
-        if found == 0:
-            plain = word.translate(SIGNS)
-            found = intersect(self.trie, plain, 1)
-            if found and found[1] == 0 and plain != word:
-                found = (found[0], 1)
+        plain = word if word.isalpha() else word.translate(SIGNS)
+        if not (any(plain[:n] in self.heads for n in self.head_sizes) or any(plain[-n:] in self.tails for n in self.tail_sizes)):
+            return None
+        if word not in self.memo:
             if len(self.memo) >= self.size:
                 self.memo.clear()
-            self.memo[word] = found
-        return found
+            found = intersect(self.trie, plain, 1)
+            self.memo[word] = found and (found[0], 1)
+        return self.memo[word]
 
-    def hits(self, text: str) -> list[tuple[int, str, str, int]]:
-        """(token index, word, term, distance); the tokens are :data:`TOKEN`'s."""
+    def hits(self, text: str) -> tuple[list[str], dict[str, tuple[str, int]]]:
+        """The tokens of a text, and its distinct words that hit with term and distance."""
         words = TOKEN.findall(text.lower())
-        hit = {w: m for w in set(words) if (m := self(w))}
-        return [(i, w, *hit[w]) for i, w in enumerate(words) if w in hit] if hit else []
+        return words, {w: m for w in set(words) if (m := self(w))}
 
     def features(self, text: str) -> list[float]:
-        words = TOKEN.findall(text.lower())
-        hit = {w: m for w in set(words) if (m := self(w))}
+        words, hit = self.hits(text)
         if not hit:
             return [0.0] * FEATURES
-        abuse = fuzzy = quoted = aimed = 0.0
+        total = top = fuzzy = quoted = aimed = count = 0.0
+        kinds = set()
         quotes = np.cumsum([w in QUOTES for w in words])
         for i, w in enumerate(words):
             if w not in hit:
                 continue
-            around = words[max(0, i - WINDOW) : i + WINDOW + 1]
+            term, distance = hit[w]
+            before, after = words[max(0, i - WINDOW) : i], words[i + 1 : i + WINDOW + 1]
             # Inside a pair of marks: one before it and one after it, both near, an odd number of them so far.
-            marks = any(x in QUOTES for x in words[max(0, i - WINDOW) : i]) and any(x in QUOTES for x in words[i + 1 : i + WINDOW + 1]) and quotes[i] % 2
-            as_quote = min(1.0, 0.7 * bool(marks) + 0.4 * any(x in REPORTING for x in around))
+            marks = any(x in QUOTES for x in before) and any(x in QUOTES for x in after) and quotes[i] % 2
+            as_quote = min(1.0, 0.7 * bool(marks) + 0.4 * any(x in REPORTING for x in (*before, *after)))
+            weight = self.model.terms[term] * (1 - as_quote)
             quoted += as_quote
-            if hit[w][1]:
-                fuzzy += 1 - as_quote
+            aimed += weight * any(x in ADDRESS for x in (*before, *after))
+            if distance:
+                fuzzy += weight
             else:
-                abuse += 1 - as_quote
-            aimed += (1 - as_quote) * any(x in ADDRESS for x in around)
-        n = max(len(words), 1)
-        return [np.log1p(abuse), min(1.0, abuse), np.log1p(fuzzy), np.log1p(quoted), np.log1p(100 * (abuse + 0.5 * fuzzy) / n), np.log1p(aimed)]
+                kinds.add(w)
+                count += 1 - as_quote
+                total, top = total + weight, max(top, weight)
+        rate = 100 * (count + 0.5 * fuzzy) / len(words)
+        return [top, min(total, 6.0), float(np.log1p(count)), min(len(kinds), 6) / 6, float(np.log1p(fuzzy)), float(np.log1p(quoted)), float(np.log1p(rate)), float(np.log1p(aimed))]
 
 
-def learn_lexicon(sample: DataFrame, min_docs: int = 5, candidates: int = 2000, min_share: float = 0.9) -> list[str]:
-    """Words that nearly only toxic documents hold, taken greedily while they explain new ones.
+def learn_lexicon(sample: DataFrame, min_docs: int = 4, candidates: int = 2000, min_share: float = 0.35) -> dict[str, float]:
+    """Words and stems that toxic documents hold far more often than others, taken greedily while they explain new ones.
 
     Copies of a text count once.  ``candidates`` bounds what reaches the driver.
     """
-    tokens = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0)), lambda w: (F.length(w) >= 4) & (F.length(w) <= 30)))
-    words = sample.select("doc_id", "y", tokens.alias("w"), F.xxhash64("text").alias("h")).dropDuplicates(["h"])
-    each = words.select("doc_id", "y", F.explode("w").alias("word"))
-    stats = each.groupBy("word").agg(F.sum("y").alias("bad"), F.count("*").alias("n"))
-    stats = stats.where((F.col("bad") >= min_docs) & (F.col("bad") >= min_share * F.col("n"))).orderBy(F.desc("bad"), "word").limit(candidates)
-    rows = each.where("y = 1").join(F.broadcast(stats.select("word")), "word").groupBy("word").agg(F.collect_set("doc_id").alias("ids")).collect()
-    left = {r["word"]: set(r["ids"]) for r in rows}
-    n_bad = words.where("y = 1").count()
-    terms: list[str] = []
+    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0)), lambda w: (F.length(w) >= 4) & (F.length(w) <= 30)))
+    once = sample.select("doc_id", "y", words.alias("w"), F.xxhash64("text").alias("h")).dropDuplicates(["h"])
+    stems = [F.transform(F.filter("w", lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit(STEM))) for n in (4, 5, 6, 7)]
+    each = once.select("doc_id", "y", F.explode(F.array_distinct(F.concat("w", *stems))).alias("term"))
+    stats = each.groupBy("term").agg(F.sum("y").cast("bigint").alias("bad"), F.count("*").alias("n"))
+    stats = stats.where((F.col("bad") >= min_docs) & (F.col("bad") >= min_share * F.col("n"))).orderBy(F.desc(F.col("bad") * F.col("bad") / F.col("n")), "term").limit(candidates)
+    stats = keep(stats, "toxic-terms")
+    rows = each.where("y = 1").join(F.broadcast(stats), "term").groupBy("term", "bad", "n").agg(F.collect_set("doc_id").alias("ids")).collect()
+    n_bad, n_all = once.agg(F.sum("y"), F.count("*")).first()
+    left = {r["term"]: set(r["ids"]) for r in rows}
+    share = {r["term"]: r["bad"] / (r["n"] + 0.5) for r in rows}
+    odds = {r["term"]: np.log((r["bad"] + 0.5) / (r["n"] - r["bad"] + 0.5) * (n_all - n_bad + 0.5) / (n_bad + 0.5)) for r in rows}
+    terms: dict[str, float] = {}
+
+    def take(term: str) -> None:
+        terms[term] = float(np.clip(odds[term] / 6, 0.1, 1))
+        start = term[:-1] if term.endswith(STEM) else None
+        for t in [t for t in left if t == term or start and t.startswith(start)]:
+            explained.update(left.pop(t))
+
+    # First what hardly any other document holds; of a stem and its longer forms in the same documents, the longest.
+    explained: set = set()
+    for t in sorted(left, key=lambda t: (-len(left[t]), -len(t), t)):
+        if t in left and share[t] >= 0.9 and len(left[t]) >= max(min_docs, 0.02 * n_bad):
+            take(t)
+    # Then what explains the rest, though others hold it too; how often and in how many forms decides later.
     while left:
-        best = max(left, key=lambda w: (len(left[w]), w))
-        new = left.pop(best)
-        # A word that explains few further documents is a trait of some copies, not a term.
-        if len(new) < max(min_docs, 0.01 * n_bad):
+        best = max(left, key=lambda t: (len(left[t] - explained) * share[t] ** 0.5, len(t), t))
+        if len(left[best] - explained) < max(min_docs, 0.01 * n_bad):
             break
-        terms.append(best)
-        # Others may stand in the same documents: only half of what is explained is taken off them.
-        left = {w: s - {d for d in new if zlib.crc32(f"{d}:{best}".encode()) % 2} for w, s in left.items()}
-    return sorted(terms)
+        take(best)
+    drop(stats)
+    return terms
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, rows: int = 12_000, max_bytes: int = 65_536) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, rows: int = 9_000, max_bytes: int = 32_768) -> Model:
     """Learn from at most ``rows`` labelled documents outside the held-out fold."""
-    sample = keep(labelled_sample(docs, labels, "toxic", folds, held_out, rows, max_bytes), "toxic-sample")
+    sample = labelled_sample(docs, labels, "toxic", folds, held_out, rows, max_bytes)
+    sample = keep(sample.select("doc_id", "text", F.col("y").cast("int").alias("y"), F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half")).repartition(8, "doc_id"), "toxic-sample")
     model = Model(learn_lexicon(sample))
-    if model.terms:
-        matcher = Matcher(model)
+    finder = Matcher(model)
 
-        def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = [(w, y) for t, y in zip(batch["text"].to_pylist(), batch["y"].to_pylist(), strict=True) for w in {w for _, w, _, d in matcher.hits(t) if d}]
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32())], ["w", "y"])
+    def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(w, h) for t, h in zip(batch["text"].to_pylist(), batch["half"].to_pylist(), strict=True) for w, m in finder.hits(t)[1].items() if m[1]]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([h for _, h in found], pa.int32())], ["w", "half"])
 
-        seen = sample.select("text", F.col("y").cast("int").alias("y")).mapInArrow(variants, "w string, y int").groupBy("w").agg(F.sum("y").alias("bad"), F.count("*").alias("n"))
-        # Ordinary words that are near a term: the clean documents of the sample hold them.
-        model.innocent = frozenset(r["w"] for r in seen.where("n > bad").collect())
-    fitted = sample.select("text", F.col("y").cast("int").alias("y"))
+    # Ordinary words that are near a term: clean documents of the sample hold them.  The weights are
+    # fitted on one half with what the other half shows, as later texts bring words not yet seen.
+    near = sample.where("y = 0").select("text", "half").mapInArrow(variants, "w string, half int").distinct().collect() if model.terms else []
+    model.innocent = frozenset(r["w"] for r in near if r["half"] == 0)
     x, y = [], []
-    for r in _features(fitted, model, ["y int"]).collect():
+    for r in _features(sample.where("half = 1"), model, ["y int"]).collect():
         x.append(r["features"])
         y.append(r["y"])
+    model.innocent = frozenset(r["w"] for r in near)
     prior = labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), folds) != held_out)).agg(F.avg("toxic")).first()[0]
-    model.weights = Logistic(np.array(x, dtype=float).reshape(-1, FEATURES), np.array(y, dtype=float), prior=min(max(prior or 0.5, 0.02), 0.98))
+    model.weights = Logistic(np.array(x, dtype=float).reshape(-1, FEATURES), np.array(y, dtype=float), l2=0.3, prior=min(max(prior or 0.5, 0.02), 0.98))
     drop(sample)
     return model
 
