@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, fitting, huffman, linededup, packing, quality, sharding, toxicity
+from . import ann, decontam, fitting, huffman, linededup, packing, quality, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), longest=2048)
 
 
+def op10_permutation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ann.Index(_table(spark, sf_dir, "embeddings"))
+    return index.search(index.table.where("vec_id % 20 = 0").select("vec_id", "v"), k=20)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_line_dedup": op3_line_dedup,
@@ -57,6 +62,7 @@ QUERIES = {
     "op7_token_output": op7_token_output,
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
+    "op10_permutation_ann": op10_permutation_ann,
 }
 
 #: DuckDB: the words of a text.
