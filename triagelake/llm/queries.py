@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, decontam, fitting, huffman, linededup, packing, quality, sharding, toxicity
+from . import ann, decontam, fitting, huffman, linededup, minhash, packing, quality, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = minhash.near_duplicates(_table(spark, sf_dir, "documents"), 0.8)
+    return done.select(F.col("id").alias("doc_id"), "class_id", "class_size", "n_links", "kept")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), folds=3, held_out=1)
@@ -57,6 +62,7 @@ def op10_permutation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_line_dedup": op3_line_dedup,
+    "op4_bagminhash": op4_bagminhash,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
     "op7_token_output": op7_token_output,
