@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.scratch import drop, keep
 from .fitting import Logistic, fold, labelled_sample
@@ -183,6 +183,11 @@ class Matcher:
         return [top, min(total, 6.0), float(np.log1p(count)), min(len(kinds), 6) / 6, float(np.log1p(fuzzy)), float(np.log1p(quoted)), float(np.log1p(rate)), float(np.log1p(aimed))]
 
 
+def _stems(words: Column, n: int) -> Column:
+    """The stems of ``n`` letters of the longer words."""
+    return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit(STEM)))
+
+
 def learn_lexicon(sample: DataFrame, min_docs: int = 4, candidates: int = 2000, min_share: float = 0.35) -> dict[str, float]:
     """Words and stems that toxic documents hold far more often than others, taken greedily while they explain new ones.
 
@@ -190,7 +195,7 @@ def learn_lexicon(sample: DataFrame, min_docs: int = 4, candidates: int = 2000,
     """
     words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0)), lambda w: (F.length(w) >= 4) & (F.length(w) <= 30)))
     once = sample.select("doc_id", "y", words.alias("w"), F.xxhash64("text").alias("h")).dropDuplicates(["h"])
-    stems = [F.transform(F.filter("w", lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit(STEM))) for n in (4, 5, 6, 7)]
+    stems = [_stems(F.col("w"), n) for n in (4, 5, 6, 7)]
     each = once.select("doc_id", "y", F.explode(F.array_distinct(F.concat("w", *stems))).alias("term"))
     stats = each.groupBy("term").agg(F.sum("y").cast("bigint").alias("bad"), F.count("*").alias("n"))
     stats = stats.where((F.col("bad") >= min_docs) & (F.col("bad") >= min_share * F.col("n"))).orderBy(F.desc(F.col("bad") * F.col("bad") / F.col("n")), "term").limit(candidates)
@@ -200,6 +205,10 @@ def learn_lexicon(sample: DataFrame, min_docs: int = 4, candidates: int = 2000,
     left = {r["term"]: set(r["ids"]) for r in rows}
     share = {r["term"]: r["bad"] / (r["n"] + 0.5) for r in rows}
     odds = {r["term"]: np.log((r["bad"] + 0.5) / (r["n"] - r["bad"] + 0.5) * (n_all - n_bad + 0.5) / (n_bad + 0.5)) for r in rows}
+    # A stem is worth having only where no one longer form stands in nearly all of its documents.
+    for t in [t for t in left if t.endswith(STEM)]:
+        if any(o != t and o.startswith(t[:-1]) and len(left[o]) >= 0.9 * len(left[t]) for o in left):
+            del left[t]
     terms: dict[str, float] = {}
 
     def take(term: str) -> None:
@@ -208,7 +217,7 @@ def learn_lexicon(sample: DataFrame, min_docs: int = 4, candidates: int = 2000,
         for t in [t for t in left if t == term or start and t.startswith(start)]:
             explained.update(left.pop(t))
 
-    # First what hardly any other document holds; of a stem and its longer forms in the same documents, the longest.
+    # First what hardly any other document holds.
     explained: set = set()
     for t in sorted(left, key=lambda t: (-len(left[t]), -len(t), t)):
         if t in left and share[t] >= 0.9 and len(left[t]) >= max(min_docs, 0.02 * n_bad):
