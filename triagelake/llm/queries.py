@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, decontam, fitting, huffman, linededup, minhash, packing, quality, sharding, toxicity
+from . import ann, decontam, fitting, huffman, linededup, minhash, packing, pii, quality, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), shards=16)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.find(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", *[pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = linededup.dedup_lines(_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return done.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -61,6 +66,7 @@ def op10_permutation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_pii": op2_pii,
     "op3_line_dedup": op3_line_dedup,
     "op4_bagminhash": op4_bagminhash,
     "op5_toxicity": op5_toxicity,
