@@ -283,3 +283,15 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", "text").alias("at"), "text")
     return rows.mapInArrow(run, "doc_id bigint, at bigint, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(model)
+        for batch in batches:
+            x = np.array([matcher.features(t or "") for t in batch["text"].to_pylist()], dtype=float).reshape(-1, FEATURES)
+            yield batch.filter(pa.array(model.weights.score(x) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
