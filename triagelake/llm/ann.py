@@ -60,7 +60,7 @@ class Index:
         rows = rows.where(F.size("v") == self.dim)
         # A bounded sample: at most ``pivots`` different vectors, chosen by a hash.
         chosen = rows.groupBy("v").agg(F.min("vec_id").alias("vec_id")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
-        self.pivots = self.lift(np.array([r["v"] for r in chosen], dtype=float).reshape(-1, self.dim))
+        self.pivots = self.lift(np.array([r["v"] for r in chosen], dtype=float).reshape(len(chosen), self.dim))
         self.prefix = min(prefix, len(self.pivots))
         self.blocks = max(1, -(-n // block_rows))
         block = F.pmod(F.xxhash64("vec_id"), F.lit(self.blocks)).cast("int")

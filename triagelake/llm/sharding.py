@@ -3,8 +3,8 @@
 Every row gets a sort key, the 64-bit hash of its text, so that equal texts lie
 side by side.  A size-weighted sample of keys gives quantile boundaries; they
 cut the key space into many ranges of about equal bytes.  Ranges that hold far
-more than their part (one text with very many copies) are subdivided by a hash
-of the row.  Sizes are then summed exactly: each range adds up its own rows,
+more than their part (one text with very many copies) are subdivided: such a
+text gets ranges of its own, by a hash of the row.  Sizes are then summed exactly: each range adds up its own rows,
 only one row per range reaches the driver, and a record's shard follows from
 the bytes that lie before it in key order.
 
@@ -64,21 +64,23 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, rows_per_range: int = 50_0
     in_range = slim.withColumn("range", bucket_of(F.col("h"), bounds))
     stats = {r["range"]: (r["n"], r["b"]) for r in in_range.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()}
     mean_n, mean_b = rows / (len(bounds) + 1), total / (len(bounds) + 1)
-    parts = [1] * (len(bounds) + 1)
-    for k, (n, b) in stats.items():
-        over = max(n / mean_n, b / mean_b)
-        parts[k] = 1 if over <= 3 else int(over) + 1
-    first_cell = [0, *accumulate(parts)][:-1]
-    n_parts = F.element_at(long_array(parts), F.col("range") + 1)
-    in_cell = in_range.select(
-        "doc_id", "size", "text_crc32", "h", "rid",
-        (F.element_at(long_array(first_cell), F.col("range") + 1) + F.pmod(F.xxhash64("rid"), n_parts)).alias("cell"),
-        (n_parts == 1).alias("whole"),
-    )
+    over = [k for k, (n, b) in stats.items() if max(n / mean_n, b / mean_b) > 3]
+    # In such ranges the keys that alone exceed a range's part: fewer than there are ranges.
+    heavy: dict[int, int] = {}
+    if over:
+        per_key = in_range.where(F.array_contains(long_array(over), F.col("range").cast("bigint"))).groupBy("h").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
+        for r in per_key.where((F.col("n") > mean_n) | (F.col("b") > mean_b)).collect():
+            heavy[r["h"]] = int(max(r["n"] / mean_n, r["b"] / mean_b)) + 1
+    keys = sorted(heavy)
+    first_part = [len(bounds) + 1 + x for x in [0, *accumulate(heavy[k] for k in keys)]]
+    nth = bucket_of(F.col("h"), keys) if keys else F.lit(0)
+    is_heavy = (F.element_at(long_array(keys), F.greatest(nth, F.lit(1))) == F.col("h")) & (nth > 0) if keys else F.lit(False)
+    part = F.element_at(long_array(first_part), F.greatest(nth, F.lit(1))) + F.pmod(F.xxhash64("rid"), F.element_at(long_array([heavy[k] for k in keys] or [1]), F.greatest(nth, F.lit(1))))
+    in_cell = in_range.select("doc_id", "size", "text_crc32", "h", "rid", F.when(is_heavy, part).otherwise(F.col("range").cast("bigint")).alias("cell"), (~is_heavy).alias("whole"))
 
     # Exact sums: per range on the executors, across ranges from one row each.
     sums = {r["cell"]: (r["n"], r["b"]) for r in in_cell.groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()}
-    in_order = [sums.get(c, (0, 0)) for c in range(sum(parts))]
+    in_order = [sums.get(c, (0, 0)) for c in range(first_part[-1])]
     rows_before = long_array([0, *accumulate(n for n, _ in in_order)][:-1])
     bytes_before = long_array([0, *accumulate(b for _, b in in_order)][:-1])
     order = Window.partitionBy("cell").orderBy("h", "doc_id", "rid")
