@@ -84,6 +84,8 @@ def dependency_findings(pins: DataFrame, advisories: DataFrame, epss: DataFrame,
     """
     places = pins.where("version is not null").groupBy("name", "version").agg(F.array_sort(F.collect_list(F.struct("ord", "file", "line"))).alias("locations"))
     met = places.join(advisories, ["name", "version"]).withColumn("key", F.concat_ws("==", "name", "version"))
+    # Advisories of equal worth are taken in an order that their ids decide.
+    met = met.withColumn("ord", F.xxhash64("id"))
     grouped = combine(met.join(alias_groups(met.select("key", "id", "aliases")), ["key", "id"]))
     rows = grouped.join(met.select("key", "name", "version", "locations").distinct(), "key").withColumn("rid", F.concat_ws("|", "key", "id")).withColumn("all_ids", F.array_union(F.array("id"), "aliases"))
     full = with_exploit_data(rows, "rid", "all_ids", epss, kev)
