@@ -14,11 +14,14 @@ texts agree in a component with the probability of their similarity.
 Processes run in order of time and stop at the text's largest component.
 
 Links.  Texts with equal words are one class from the start.  The others meet
-in the buckets of their bands.  In each bucket all are compared with its first
-member; what is linked becomes one component.  In buckets that still hold
-several components, members of different components are compared, so that every
-bucket is either one component or compared in full: no link that the bands bring
-together is lost, and a bucket of many copies costs only as much as it has rows.
+in the buckets of their bands.  In each bucket all are compared with its most
+central member, the one that shares most buckets with others; what is linked
+becomes one component.  In buckets that still hold several components, members
+of different components are compared, if they can be linked at all: a link
+needs an overlap of t/(1+t) of both sizes, and shingles that no other text of
+those buckets has can't be in it.  So every bucket is either one component or
+compared in full: no link that the bands bring together is lost, and a bucket of
+many copies costs about as much as it has rows.
 25 bands of 5 miss a pair at 0.8 with probability 5e-5.  Links are decided on
 the whole multisets.
 
@@ -147,30 +150,31 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """(id, at: hash of the row, k1, k2: hash of the words, bands array<bigint>; empty for a text without words)."""
-    names = ["id", "at", "k1", "k2", "bands"]
+    """(id, at: hash of the row, k1, k2: hash of the words, n: shingles, bands array<bigint>; empty for a text without words)."""
+    names = ["id", "at", "k1", "k2", "n", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                keys, bags, with_words = [], [], []
+                keys, bags, with_words, sizes = [], [], [], []
                 for i, text in enumerate(part["text"].to_pylist()):
                     words = words_of(text)
                     whole = " ".join(words) if words else "\n" + (text or "")
                     d = xxhash.xxh3_128_intdigest(whole)
                     keys.append(((d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)))
+                    sizes.append(max(0, len(words) - SHINGLE + 1) or bool(words))
                     if words:
                         bags.append(bag(shingles(hashes(words))))
                         with_words.append(i)
                 bands: list = [[]] * part.num_rows
                 for i, row in zip(with_words, bands_of(signatures(bags)), strict=True):
                     bands[i] = row
-                yield pa.RecordBatch.from_arrays([part["id"], part["at"], pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names)
+                yield pa.RecordBatch.from_arrays([part["id"], part["at"], pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), pa.array([int(n) for n in sizes], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("doc_id", "text").alias("at"), "text")
-    return rows.mapInArrow(run, "id bigint, at bigint, k1 bigint, k2 bigint, bands array<bigint>")
+    return rows.mapInArrow(run, "id bigint, at bigint, k1 bigint, k2 bigint, n bigint, bands array<bigint>")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -194,6 +198,23 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _unique_shingles(texts: DataFrame) -> DataFrame:
+    """(node, alone): how many of a text's shingles, copies counted apart, no other of these texts has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for node, text in zip(batch["node"].to_pylist(), batch["text"], strict=True):
+                item, count = bag(shingles(hashes(words_of(text.as_py()))))
+                nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                with np.errstate(over="ignore"):
+                    unit = mix(np.repeat(item, count) + GOLDEN * nth.astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), node), pa.int64()), pa.array(unit.view(np.int64))], ["node", "unit"])
+
+    units = texts.mapInArrow(run, "node bigint, unit bigint")
+    return units.groupBy("unit").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row per document: id, at, class_id (least doc_id of its class), class_size, n_links, kept.
 
@@ -203,10 +224,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """
     signed = keep(sign(docs).withColumn("rid", F.monotonically_increasing_id()), "signed")
     # Equal texts first: a node per text.  Copies are counted where they are read.
-    nodes = keep(signed.groupBy("k1", "k2").agg(F.min("rid").alias("node"), F.min_by(F.struct("id", "at", "bands"), "rid").alias("r")).select("k1", "k2", "node", "r.*"), "nodes")
+    nodes = keep(signed.groupBy("k1", "k2").agg(F.min("rid").alias("node"), F.min_by(F.struct("id", "at", "n", "bands"), "rid").alias("r")).select("k1", "k2", "node", "r.*"), "nodes")
     members = keep(nodes.select("node", F.explode("bands").alias("bucket")), "members")
-    full = members.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    first = keep(members.join(full, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
+    full = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = keep(members.join(full, "bucket"), "shared")
+    central = shared.groupBy("node").agg(F.sum("size").alias("central"))
+    heads = shared.join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct("central", -F.col("node"))).alias("b"))
+    met = keep(shared.select("bucket", "node").join(heads, "bucket"), "met")
+    first = keep(met.where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         """(node, text) of the nodes of ``pairs``."""
@@ -218,14 +243,25 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     links = keep(_verify(first, texts_of(first), threshold), "links")
     done = connected_components(links, "a", "b")
-    placed = members.join(done, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("head")).where("lo <> hi").select("bucket", "head")
-    open_ = keep(placed.join(split, "bucket"), "open")
-    # Each member that its bucket's first didn't link, against all of another component there.
-    left, right = open_.select("bucket", "head", F.col("node").alias("x"), F.col("component").alias("cx")), open_.select("bucket", F.col("node").alias("y"), F.col("component").alias("cy"))
-    more = left.join(right, "bucket").where("cx < cy and x <> head and y <> head").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    more = keep(more.join(first, ["a", "b"], "left_anti"), "more-pairs")
-    if not more.isEmpty():
+    placed = met.join(done, "node", "left").select("bucket", "node", "b", F.coalesce("component", "node").alias("component"))
+    split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    open_ = keep(placed.join(split, "bucket", "left_semi"), "open")
+    if open_.isEmpty():
+        more = None
+    else:
+        alone = _unique_shingles(texts_of(open_.select(F.col("node").alias("a"), F.col("node").alias("b"))))
+        able = open_.join(nodes.select("node", "n"), "node").join(alone, "node", "left")
+        able = able.withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0))).where(F.col("s") >= F.lit(threshold) * F.col("n") - 1e-6)
+        # A pair that shares several buckets is made in the first of them only.
+        able = able.join(able.groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("all")), "node")
+        left = able.select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("all").alias("ax"))
+        right = able.select("bucket", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("s").alias("sy"), F.col("all").alias("ay"))
+        need = F.lit(threshold / (1 + threshold)) * (F.col("nx") + F.col("ny")) - 1e-6
+        more = left.join(right, "bucket").where((F.col("cx") < F.col("cy")) & (F.least("sx", "sy") >= need) & (F.array_min(F.array_intersect("ax", "ay")) == F.col("bucket")))
+        more = more.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+        either = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        more = keep(more.join(either, ["a", "b"], "left_anti"), "more-pairs")
+    if more is not None and not more.isEmpty():
         links = keep(links.unionByName(_verify(more, texts_of(more), threshold)), "links")
         done = connected_components(links, "a", "b")
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
