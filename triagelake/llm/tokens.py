@@ -66,36 +66,37 @@ class Encoder:
         except (KeyError, TypeError, IndexError):
             return False
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.alphabet)
-        return [t.id for t in self.model.tokenize(word)]
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
 
-    def _learn(self, stretches: list[str]) -> None:
+    def _learn(self, stretches: set[str]) -> dict[str, bytes]:
         if len(self.memo) + len(stretches) > self.memo_size:
             self.memo.clear()
+        memo, new = self.memo, {}
         for s in stretches:
-            ids = self._word(s) if s.isalpha() else [i for w in WORDS.findall(s) for i in self._word(w)]
-            self.memo[s] = np.array(ids, dtype="<u4").tobytes() if len(ids) > 8 else b"".join([i.to_bytes(4, "little") for i in ids])
+            # A word with a sign beside it is mostly known without the sign.
+            new[s] = self._word(s) if s.isalpha() else b"".join([memo.get(w) or self._word(w) for w in WORDS.findall(s)])
+        memo.update(new)
+        return new
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         out: list = []
+        end = END.to_bytes(4, "little")
         for text in texts:
             text = text or ""
             if self.by_word and PLAIN.fullmatch(text):
                 stretches = text.lower().split()
-                try:
-                    packed = b"".join(map(self.memo.__getitem__, stretches))
-                except KeyError:
-                    all_of = set(stretches)
-                    self._learn([s for s in all_of if s not in self.memo])
-                    if lost := [s for s in all_of if s not in self.memo]:  # it was emptied
-                        self._learn(lost)
-                    packed = b"".join(map(self.memo.__getitem__, stretches))
-                ids = np.frombuffer(packed, dtype="<u4")
+                packed = list(map(self.memo.get, stretches))
+                if None in packed:
+                    new = self._learn({s for s, p in zip(stretches, packed, strict=True) if p is None})
+                    packed = [p if p is not None else new[s] for s, p in zip(stretches, packed, strict=True)]
+                packed.append(end)
+                out.append(np.frombuffer(b"".join(packed), dtype="<u4"))
             else:
                 ids = np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
-            out.append(np.append(ids, np.array([END], dtype="<u4")))
+                out.append(np.append(ids, np.array([END], dtype="<u4")))
         return out
 
 
