@@ -90,6 +90,25 @@ def test_contexts_discover_unseen_identifiers(spark, empty, edge):
     assert pii.find(empty).count() == 0 and pii.find(edge).count() == len(EDGE)
 
 
+def spans_of(spark, docs):
+    return {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", pii.as_text("spans").alias("spans")).collect()}
+
+
+def test_spaced_identifiers_are_whole_seeds_and_instances(spark):
+    docs = [(k, f"you may ring +1 ({200 + k}) 555-{1000 + k} today") for k in range(20)]
+    docs += [(k + 50, f"paid by visa 4{k:03d} 0000 0000 000{d} then") for k in range(20) for d in range(10) if luhn(f"4{k:03d}00000000000{d}")]
+    long = "x9" * 60
+    docs += [(100, "please ring 0692 555 7565 now"), (101, "with visa 1234-5678 9012 only"), (102, f"do ring {long} now"), (103, "ring 77 now")]
+    got = spans_of(spark, docs)
+    assert got[100] == "phone:12:25" and got[101] == "card:10:24" and got[102] == "phone:8:128" and got[103] == "phone:5:7"
+    assert got[3] == "phone:13:30" and got[50].startswith("card:13:")
+
+
+def luhn(digits):
+    total = sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(int(x) for x in reversed(digits)))
+    return total % 10 == 0
+
+
 # 3 -------------------------------------------------------------------------------------------------
 
 

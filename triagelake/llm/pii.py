@@ -1,8 +1,9 @@
 """Personal data: base patterns and bootstrapped contextual extraction, by DataFrame operations only.
 
 Base entities (email, ip, card, phone) are found by fixed patterns.  They are
-the seeds of the second part.  An instance is a word with a digit or an at sign;
-its pattern is the word before it.  Patterns and instances form a graph, whose
+the seeds of the second part.  An instance is a whole base entity, or
+elsewhere a run of words that each hold a digit or an at sign; its pattern is
+the word before it on its line.  Patterns and instances form a graph, whose
 edges count how often the one introduces the other.  Starting from the seeds,
 with confidence 1 for their kind, scores go back and forth a few times: a
 pattern is as good as the share of its instances that is believed, damped by its
@@ -35,9 +36,12 @@ PATTERNS = {
 }
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: A word and the instance after it: a word of 5 to 64 signs, with a digit or an at sign.
-CONTEXT = r"(?<!\S)\S++[\x20\t]++(?=\S*[0-9@])"
-INSTANCE = r"[^\p{Alnum}]*+(\S*?[\p{Alnum}])[^\p{Alnum}]*+(?:\s|$)"
+#: A word and what follows it on its line: after a word without digit or at sign the whole run of words
+#: that hold one, after any other word the one next to it.
+RUN = r"(?<!\S)[^\s0-9@]++[\x20\t]++(?=([^\s0-9@]*+[0-9@]\S*+(?:[\x20\t]++[^\s0-9@]*+[0-9@]\S*+)*+))"
+NEXT = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+[\x20\t]++(?=([^\s0-9@]*+[0-9@]\S*+))"
+NO_NEAR = "array<struct<at:int,word:string,run:string>>"
+NO_CONTEXTS = "array<struct<start:int,end:int,word:string,instance:string,kind:int>>"
 
 
 def _valid(kind: str, found: Column) -> Column:
@@ -77,22 +81,53 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[of(k, kind) for k, kind in enumerate(KINDS)]))
 
 
-def contexts(text: Column) -> Column:
-    """array<struct<start, end, word, instance>>: each instance with its place and the word before it."""
-    found = F.filter(_places(text, CONTEXT), lambda p: p["found"].isNotNull())
-    # The instance starts where the word and its space end.
-    ahead = F.transform(found, lambda p: F.struct(
-        F.lower(F.regexp_replace(p["found"], r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")).alias("word"),
-        (p["start"] + F.length(p["found"])).alias("at"),
-        F.substring_index(F.regexp_replace(F.substring(text, p["start"] + F.length(p["found"]) + 1, F.lit(80)), r"\s", " "), " ", 1).alias("raw"),
-    ))
-    cut = F.transform(ahead, lambda a: F.struct(
-        a["word"].alias("word"), a["at"].alias("at"), a["raw"].alias("raw"),
-        F.length(F.regexp_extract(a["raw"], r"^[^A-Za-z0-9+]*", 0)).alias("skip"),
-        F.regexp_extract(a["raw"], r"^[^A-Za-z0-9+]*+(.*[A-Za-z0-9])", 1).alias("instance"),
-    ))
-    placed = F.transform(cut, lambda c: F.struct((c["at"] + c["skip"]).alias("start"), (c["at"] + c["skip"] + F.length(c["instance"])).alias("end"), c["word"].alias("word"), c["instance"].alias("instance")))
-    return F.filter(placed, lambda c: (F.length(c["instance"]) >= 5) & (F.length(c["instance"]) <= 64) & (c["word"] != ""))
+def _near(text: Column, pattern: str) -> Column:
+    """array<struct<at, word, run>>: the word of each match of RUN or NEXT, what follows it and its place."""
+    both = F.arrays_zip(_places(text, pattern).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("run"))
+    return F.transform(both, lambda b: F.struct((b["p"]["start"] + F.length(b["p"]["found"])).alias("at"), _bare(b["p"]["found"]).alias("word"), b["run"].alias("run")))
+
+
+def _bare(word: Column) -> Column:
+    return F.lower(F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+
+
+def near(text: Column) -> Column:
+    """array<struct<at, word, run>> of a text; one without any match is searched once."""
+    return F.concat(*[F.when(text.rlike("[0-9@]") & text.rlike(p), _near(text, p)).otherwise(F.array().cast(NO_NEAR)) for p in (RUN, NEXT)])
+
+
+def contexts(text: Column, base: Column, near: Column) -> Column:
+    """array<struct<start, end, word, instance, kind>>: each instance with its place and the word before it.
+
+    A base span is an instance as a whole, with its kind; its word is what it is glued to or the word before.
+    Other instances have no kind and end where a base span starts.
+    """
+
+    def seeds(n: Column) -> Column:
+        first = F.regexp_extract(n["run"], r"^\S*", 0)
+        met = F.filter(base, lambda b: (b["start"] >= n["at"]) & (b["start"] < n["at"] + F.length(first)))
+        glued = lambda b: _bare(F.substring(first, F.lit(1), b["start"] - n["at"]))
+        found = lambda b: F.substring(n["run"], b["start"] - n["at"] + 1, b["end"] - b["start"])
+        # After a word with a digit only the next word is at hand, so that a span of several is read from the text.
+        whole = lambda b: F.when(b["end"] <= n["at"] + F.length(n["run"]), found(b)).otherwise(F.substring(text, b["start"] + 1, b["end"] - b["start"]))
+        return F.transform(met, lambda b: F.struct(
+            b["start"].alias("start"), b["end"].alias("end"), F.when(glued(b) == "", n["word"]).otherwise(glued(b)).alias("word"), whole(b).alias("instance"), b["kind"].alias("kind"),
+        ))
+
+    def rest(n: Column) -> Column:
+        # What a base span doesn't cover, from the first word on.
+        ahead = F.filter(base, lambda b: (b["end"] > n["at"]) & (b["start"] < n["at"] + F.length(n["run"])))
+        stop = F.coalesce(F.array_min(F.transform(ahead, lambda b: b["start"])) - n["at"], F.length(n["run"]))
+        left = F.when(stop > 0, F.substring(n["run"], F.lit(1), stop)).otherwise(F.lit(""))
+        # Words that a base span starts in are part of it.
+        left = F.when(stop < F.length(n["run"]), F.regexp_replace(left, r"\S+$", "")).otherwise(left)
+        skip = F.length(F.regexp_extract(left, r"^[^\p{L}\p{N}+]*", 0))
+        instance = F.regexp_extract(left, r"^[^\p{L}\p{N}+]*+(.*[\p{L}\p{N}])", 1)
+        return F.struct((n["at"] + skip).alias("start"), (n["at"] + skip + F.length(instance)).alias("end"), n["word"].alias("word"), instance.alias("instance"), F.lit(None).cast("int").alias("kind"))
+
+    known = F.when(F.size(base) > 0, F.flatten(F.transform(near, seeds))).otherwise(F.array().cast(NO_CONTEXTS))
+    every = F.concat(known, F.filter(F.transform(near, rest), lambda c: c["instance"].rlike("[0-9@]")))
+    return F.filter(every, lambda c: c["word"] != "")
 
 
 def score_patterns(edges: DataFrame, rounds: int = 3, accept: float = 0.8, min_seeds: int = 5, damping: float = 2.0) -> DataFrame:
@@ -119,12 +154,11 @@ def score_patterns(edges: DataFrame, rounds: int = 3, accept: float = 0.8, min_s
 def find(docs: DataFrame, **scoring: float) -> DataFrame:
     """One row per document: doc_id, base and spans (both array<struct<start, kind, end>>)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    seen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), base_spans(text).alias("base"), contexts(text).alias("near"))
+    seen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), text.alias("text"), base_spans(text).alias("base"))
     # The texts are read once; spans and contexts are slim.
-    seen = keep(seen, "pii-seen")
-    inside = F.filter(F.col("base"), lambda b: (b["start"] < F.col("c.end")) & (F.col("c.start") < b["end"]))
-    each = seen.select("rid", "base", F.explode("near").alias("c"))
-    each = keep(each.select("rid", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.word").alias("word"), F.col("c.instance").alias("instance"), F.get(F.transform(inside, lambda b: b["kind"]), 0).alias("kind")), "pii-contexts")
+    seen = seen.withColumn("near", near(F.col("text")))
+    seen = keep(seen.select("doc_id", "rid", "base", contexts(F.col("text"), F.col("base"), F.col("near")).alias("near")), "pii-seen")
+    each = seen.select("rid", F.explode("near").alias("c")).select("rid", "c.*")
     trusted = keep(score_patterns(each.groupBy("word", "instance", "kind").agg(F.count("*").alias("n")), **scoring), "pii-trusted")
     added = each.where("kind is null").drop("kind").join(trusted, "word").groupBy("rid").agg(F.collect_set(F.struct("start", "kind", "end")).alias("more"))
     both = seen.select("doc_id", "rid", "base").join(added, "rid", "left")
