@@ -104,6 +104,15 @@ def test_spaced_identifiers_are_whole_seeds_and_instances(spark):
     assert got[3] == "phone:13:30" and got[50].startswith("card:13:")
 
 
+def test_discovered_identifiers_discover_further_patterns(spark):
+    # first introduces base entities and unseen ones, second only unseen ones, some of them first's; third only second's.
+    docs = [(k, f"first user{k}@mail.org here") for k in range(80)]
+    docs += [(100 + k, f"first ident-a{k}x here") for k in range(12)] + [(200 + k, f"second ident-a{k}x here") for k in range(12)]
+    docs += [(300, "second ident-b0x here"), (301, "second ident-b1x here"), (400, "third ident-b0x here")]
+    got = spans_of(spark, docs)
+    assert got[100] == "email:6:15" and got[200] == "email:7:16" and got[300] == "email:7:16" and got[400] == ""
+
+
 def luhn(digits):
     total = sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(int(x) for x in reversed(digits)))
     return total % 10 == 0

@@ -8,9 +8,9 @@ edges count how often the one introduces the other.  Starting from the seeds,
 with confidence 1 for their kind, scores go back and forth a few times: a
 pattern is as good as the share of its instances that is believed, damped by its
 support; an instance is believed as far as its patterns are (noisy or).
-Patterns that end above ``accept`` with enough distinct seeds are trusted, and
-what they introduce elsewhere is reported with their kind although it fits no
-base pattern.
+Patterns that end above ``accept`` with enough distinct seeds are trusted;
+what they introduce is reported with their kind although it fits no base
+pattern, and is a seed for further patterns, until nothing is added.
 
 Cases: a null text is empty and has no spans; a text of any length is searched
 whole; repeated rows have the same spans; ties in score go to the kind listed
@@ -131,24 +131,33 @@ def contexts(text: Column, base: Column, near: Column) -> Column:
 
 
 def score_patterns(edges: DataFrame, rounds: int = 3, accept: float = 0.8, min_seeds: int = 5, damping: float = 2.0) -> DataFrame:
-    """(word, kind, score) of the trusted patterns, from edges (word, instance, kind or null, n)."""
-    edges = keep(edges.groupBy("word", "instance").agg(F.max("kind").alias("kind"), F.sum("n").alias("n")), "pii-edges")
-    # Only patterns that some seed supports can ever be trusted: the graph is cut down to them.
-    kinds = edges.where("kind is not null").groupBy("word", "kind").agg(F.countDistinct("instance").alias("seeds")).where(F.col("seeds") >= min_seeds)
-    kinds = keep(kinds, "pii-seeded")
-    graph = keep(edges.withColumnRenamed("kind", "seed").join(kinds, "word"), "pii-graph")
-    belief = graph.select("word", "instance", "kind", F.when(F.col("seed") == F.col("kind"), 1.0).otherwise(0.0).alias("b"))
-    for step in range(rounds):
-        score = belief.groupBy("word", "kind").agg((F.sum("b") / (F.count("*") + damping)).alias("s"))
-        scores = keep(score, f"pii-scores-{step}")
-        if step + 1 < rounds:
-            told = graph.join(scores, ["word", "kind"]).groupBy("instance", "kind").agg(
-                F.max(F.when(F.col("seed") == F.col("kind"), 1.0).when(F.col("seed").isNotNull(), 0.0)).alias("fixed"),
-                (1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - 0.5 * F.col("s")))))).alias("told"),
-            )
-            belief = graph.select("word", "instance", "kind").join(told.select("instance", "kind", F.coalesce("fixed", "told").alias("b")), ["instance", "kind"])
-    best = scores.where(F.col("s") >= accept).groupBy("word").agg(F.min(F.struct(-F.col("s"), "kind")).alias("m"))
-    return best.select("word", F.col("m.kind").alias("kind"), (-F.col("m.col1")).alias("score"))
+    """(word, kind, score) of the trusted patterns, from edges (word, instance, kind or null, n).
+
+    What a trusted pattern introduces is a seed for others: the scores are taken
+    anew from the grown seeds until no instance is added.
+    """
+    edges = keep(edges.groupBy("word", "instance").agg(F.max("kind").alias("kind")), "pii-edges")
+    sizes = keep(edges.groupBy("word").agg(F.count("*").alias("size")), "pii-sizes")
+    pairs = edges.select("word", "instance")
+    seeds = keep(edges.where("kind is not null").groupBy("instance").agg(F.max("kind").alias("kind")), "pii-seeds")
+    while True:
+        # Only what is believed in part has a row; all else counts 0.
+        belief = seeds.select("instance", "kind", F.lit(1.0).alias("b"))
+        for step in range(rounds):
+            score = pairs.join(belief, "instance").groupBy("word", "kind").agg(F.sum("b").alias("sum")).join(sizes, "word")
+            scores = keep(score.select("word", "kind", (F.col("sum") / (F.col("size") + damping)).alias("s")), "pii-scores")
+            if step + 1 < rounds:
+                told = pairs.join(scores, "word").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - 0.5 * F.col("s")))))).alias("b"))
+                belief = seeds.select("instance", "kind", F.lit(1.0).alias("b")).unionByName(told.join(seeds.select("instance"), "instance", "left_anti"))
+        held = pairs.join(seeds, "instance").groupBy("word", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= min_seeds)
+        sure = scores.where(F.col("s") >= accept).join(held.select("word", "kind"), ["word", "kind"], "left_semi")
+        best = sure.groupBy("word").agg(F.min(F.struct(-F.col("s"), "kind")).alias("m"))
+        trusted = keep(best.select("word", F.col("m.kind").alias("kind"), (-F.col("m.col1")).alias("score")), "pii-accepted")
+        more = pairs.join(trusted, "word").join(seeds.select("instance"), "instance", "left_anti").groupBy("instance").agg(F.min(F.struct(-F.col("score"), "kind")).alias("m"))
+        more = keep(more.select("instance", F.col("m.kind").alias("kind")), "pii-believed")
+        if more.isEmpty():
+            return trusted
+        seeds = keep(seeds.unionByName(more), "pii-seeds")
 
 
 def find(docs: DataFrame, **scoring: float) -> DataFrame:
