@@ -110,6 +110,15 @@ def test_graph_operators_survive_cycles(spark):
     assert connected_components(ring.where("false")).count() == 0
 
 
+def test_graph_searches_have_no_depth_limit(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(67)], "src long, dst long")
+    start = spark.createDataFrame([(0,)], "start long")
+    assert {r["node"]: r["hops"] for r in graph.distances(chain, start).collect()} == {k: k for k in range(1, 68)}
+    assert graph.shortest_paths(chain, start).where("node = 67").first()["path"] == list(range(68))
+    with pytest.raises(ValueError):
+        graph.distances(chain, start, max_depth=3)
+
+
 def test_evaluation(spark):
     rows = spark.createDataFrame([("g", 3.0, 1), ("g", 2.0, 0), ("g", 1.0, 1)], "g string, s double, rel int")
     order = [F.desc("s")]

@@ -2,11 +2,14 @@
 
 Graphs may have cycles, so each search is a loop of joins: the frontier meets
 the edges, what was met before is taken off, and every level is written to the
-shared folder.  Only counts come to the driver.
+shared folder.  Only counts come to the driver.  A search ends when nothing new
+is met; where ``max_depth`` ends it sooner, it raises.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import tables as T
@@ -21,7 +24,18 @@ def merge_edges(edges: DataFrame, order: str = "seq") -> DataFrame:
     )
 
 
-def distances(edges: DataFrame, starts: DataFrame, max_depth: int = 64, src: str = "src", dst: str = "dst") -> DataFrame:
+def _deeper(depth: int, max_depth: int | None) -> None:
+    if max_depth is not None and depth > max_depth:
+        raise ValueError(f"paths of more than {max_depth} edges")
+
+
+def _all(levels: list[DataFrame]) -> DataFrame:
+    """The rows of all levels: one scan, however many there are."""
+    first = levels[0]
+    return first.sparkSession.read.schema(first.schema).parquet(*[level.triagelake_path for level in levels])
+
+
+def distances(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
     """(start, node, hops) of every node that a path of at least one edge leads to, with the fewest hops.
 
     ``starts``: one column ``start``.  A start on a cycle is reached by itself only through the cycle.
@@ -29,41 +43,35 @@ def distances(edges: DataFrame, starts: DataFrame, max_depth: int = 64, src: str
     e = keep(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct(), "edges")
     frontier = keep(starts.select("start").distinct().join(e, F.col("start") == F.col("src")).select("start", F.col("dst").alias("node")).distinct().withColumn("hops", F.lit(1)), "level-1")
     seen = [frontier]
-    for depth in range(2, max_depth + 1):
+    for depth in count(2):
         if frontier.isEmpty():
             break
+        _deeper(depth - 1, max_depth)
         ahead = frontier.join(e, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        for level in seen:
-            ahead = ahead.join(level.select("start", "node"), ["start", "node"], "left_anti")
+        ahead = ahead.join(_all(seen).select("start", "node"), ["start", "node"], "left_anti")
         frontier = keep(ahead.withColumn("hops", F.lit(depth)), f"level-{depth}")
         seen.append(frontier)
-    out = seen[0]
-    for level in seen[1:]:
-        out = out.unionByName(level)
-    return out
+    return _all(seen)
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 64, src: str = "src", dst: str = "dst") -> DataFrame:
+def shortest_paths(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
     """(start, node, path array): the shortest path, of equally short ones the least in order of nodes."""
     e = keep(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct(), "edges")
     frontier = keep(starts.select("start").distinct().withColumn("node", F.col("start")).withColumn("path", F.array("start")), "path-0")
     seen = [frontier]
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         ahead = frontier.join(e, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
         ahead = ahead.groupBy("start", "node").agg(F.min("path").alias("path"))
-        for level in seen:
-            ahead = ahead.join(level.select("start", "node"), ["start", "node"], "left_anti")
+        ahead = ahead.join(_all(seen).select("start", "node"), ["start", "node"], "left_anti")
         frontier = keep(ahead, f"path-{depth}")
         if frontier.isEmpty():
             break
+        _deeper(depth, max_depth)
         seen.append(frontier)
-    out = seen[0]
-    for level in seen[1:]:
-        out = out.unionByName(level)
-    return out
+    return _all(seen)
 
 
-def blast_radius(edges: DataFrame, nodes: DataFrame, targets: DataFrame, max_depth: int = 64) -> DataFrame:
+def blast_radius(edges: DataFrame, nodes: DataFrame, targets: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(target, blast_radius): functions outside tests with a path to the target."""
     back = edges.select(F.col("target_id").alias("src"), F.col("source_id").alias("dst"))
     above = distances(back, targets.select(F.col("target").alias("start")), max_depth).where("node <> start")
@@ -72,7 +80,7 @@ def blast_radius(edges: DataFrame, nodes: DataFrame, targets: DataFrame, max_dep
     return targets.select("target").distinct().join(n, F.col("target") == F.col("start"), "left").select("target", F.coalesce("n", F.lit(0)).alias("blast_radius"))
 
 
-def entry_paths(edges: DataFrame, entrypoints: DataFrame, targets: DataFrame, max_depth: int = 64) -> DataFrame:
+def entry_paths(edges: DataFrame, entrypoints: DataFrame, targets: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(target, entrypoint, framework, path): the best entry point of each target that one reaches.
 
     ``entrypoints``: node_id, framework (web, startup, worker, cli).  Best is the
