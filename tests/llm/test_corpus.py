@@ -221,6 +221,24 @@ def test_quotation_counts_less_than_abuse():
     assert abuse[0] == 1.0 and quote[0] < 0.4 and quote[5] > 0 and typo[4] > 0 and typo[0] == 0
 
 
+def test_misspelled_stems_short_terms_swaps_and_long_terms():
+    m = toxicity.Matcher(toxicity.Model({"idiot": 1.0, "scum": 1.0, "grumbl*": 1.0, "stupid": 1.0}))
+    want = {"idoit": "idiot", "1diot": "idiot", "5cum": "scum", "scmu": "scum", "grubmlers": "grumbl*", "grum8lers": "grumbl*", "grumling": "grumbl*", "stoopid": "stupid"}
+    assert {w: m(w) and m(w)[0] for w in want} == want and all(m(w)[1] >= 1 for w in want)
+    assert m("grumblers") == ("grumbl*", 0) and m("ordinary") is None and m("scam") == ("scum", 1)
+
+
+def test_variants_are_innocent_by_their_share(spark):
+    docs, labels = toy(spark, "grumbler grumblar", "toxic")
+    docs = docs.unionByName(spark.createDataFrame([(1000, "plain1 plain2 grumblar")], docs.schema))
+    labels = labels.unionByName(spark.createDataFrame([(1000, 0)], labels.schema))
+    lexicon, toxicity.learn_lexicon = toxicity.learn_lexicon, lambda sample: {"grumbler": 1.0}
+    try:
+        assert "grumblar" not in toxicity.fit(docs, labels).innocent
+    finally:
+        toxicity.learn_lexicon = lexicon
+
+
 def toy(spark, word, label, n=400):
     rng = random.Random(2)
     vocab = [f"plain{k}" for k in range(50)]

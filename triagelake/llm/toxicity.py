@@ -41,25 +41,33 @@ STEM = "*"
 
 
 class Trie:
-    """The lexicon as nested nodes; ``term`` is set where one ends."""
+    """The lexicon as nested nodes; ``term`` is set where one ends and ``stem`` where a stem does."""
 
-    __slots__ = ("kids", "term")
+    __slots__ = ("kids", "stem", "term")
 
     def __init__(self, terms: list[str] = ()) -> None:
         self.kids: dict[str, Trie] = {}
         self.term: str | None = None
+        self.stem: str | None = None
         for t in terms:
             node = self
-            for ch in t:
+            for ch in t.removesuffix(STEM):
                 node = node.kids.setdefault(ch, Trie())
-            node.term = t
+            if t.endswith(STEM):
+                node.stem = t
+            else:
+                node.term = t
 
 
 class Automaton:
-    """Accepts what is within ``limit`` edits of a word.  A state maps positions to the fewest edits made."""
+    """Accepts what is within ``limit`` edits of a word.  A state maps positions to the fewest edits made.
+
+    With ``swaps`` two neighbours that change places are one edit; position -1 - i
+    is half way through the swap at i.
+    """
 
-    def __init__(self, word: str, limit: int) -> None:
-        self.word, self.limit = word, limit
+    def __init__(self, word: str, limit: int, swaps: bool = False) -> None:
+        self.word, self.limit, self.swaps = word, limit, swaps
 
     def start(self) -> tuple[tuple[int, int], ...]:
         return tuple((i, i) for i in range(min(self.limit, len(self.word)) + 1))
@@ -68,6 +76,12 @@ class Automaton:
         word, limit, n = self.word, self.limit, len(self.word)
         out: dict[int, int] = {}
         for at, edits in state:
+            if at < 0:
+                if word[-1 - at] == ch and edits < out.get(1 - at, limit + 1):
+                    out[1 - at] = edits
+                continue
+            if self.swaps and edits < limit and at + 1 < n and word[at + 1] == ch:
+                out[-1 - at] = min(edits + 1, out.get(-1 - at, limit + 1))
             if at < n and word[at] == ch:
                 if edits < out.get(at + 1, limit + 1):
                     out[at + 1] = edits
@@ -76,7 +90,7 @@ class Automaton:
                     out[at + 1] = edits + 1
             if edits < limit and edits + 1 < out.get(at, limit + 1):
                 out[at] = edits + 1
-        for at in sorted(out):  # the word's letters that the term lacks
+        for at in sorted(a for a in out if a >= 0):  # the word's letters that the term lacks
             edits, i = out[at], at
             while edits < limit and i < n:
                 edits, i = edits + 1, i + 1
@@ -86,13 +100,17 @@ class Automaton:
 
     def distance(self, state: tuple[tuple[int, int], ...]) -> int | None:
         n = len(self.word)
-        best = min((edits + n - at for at, edits in state), default=self.limit + 1)
+        best = min((edits + n - at for at, edits in state if at >= 0), default=self.limit + 1)
         return best if best <= self.limit else None
 
+    def prefix_distance(self, state: tuple[tuple[int, int], ...]) -> int | None:
+        """The fewest edits to some start of the word."""
+        return min((edits for at, edits in state if at >= 0), default=None)
+
 
-def intersect(trie: Trie, word: str, limit: int) -> tuple[str, int] | None:
+def intersect(trie: Trie, word: str, limit: int, swaps: bool = False) -> tuple[str, int] | None:
     """The nearest term within ``limit`` edits and its distance; ties go to the first in order."""
-    auto = Automaton(word, limit)
+    auto = Automaton(word, limit, swaps)
     best: tuple[int, str] | None = None
     todo = [(trie, auto.start())]
     while todo:
@@ -101,12 +119,39 @@ def intersect(trie: Trie, word: str, limit: int) -> tuple[str, int] | None:
             d = auto.distance(state)
             if d is not None and (best is None or (d, node.term) < best):
                 best = (d, node.term)
+        if node.stem is not None:
+            d = auto.prefix_distance(state)
+            if d is not None and (best is None or (d, node.stem) < best):
+                best = (d, node.stem)
         for ch, kid in node.kids.items():
             if after := auto.step(state, ch):
                 todo.append((kid, after))
     return best and (best[1], best[0])
 
 
+def edits_allowed(term: str) -> int:
+    """One edit for terms of four and five letters, two for longer ones, none for shorter ones."""
+    n = len(term.removesuffix(STEM))
+    return 0 if n < 4 else 1 if n < 6 else 2
+
+
+def letters(word: str) -> int:
+    """The set of its letters, as bits; letters may share one."""
+    bits = 0
+    for ch in word:
+        bits |= 1 << (ord(ch) & 63)
+    return bits
+
+
+def shortened(word: str, limit: int) -> set[str]:
+    """The word, and what is left of it without up to ``limit`` letters."""
+    out = last = {word}
+    for _ in range(limit):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
 @dataclass
 class Model:
     #: Terms and stems with their weights from 0 to 1: how much likelier they make label 1.
@@ -121,35 +166,54 @@ class Matcher:
     def __init__(self, model: Model, memo: int = 200_000) -> None:
         self.model, self.memo, self.size = model, {}, memo
         whole = [t for t in model.terms if not t.endswith(STEM)]
-        self.exact, long = frozenset(whole), [t for t in whole if len(t) >= 5]
+        self.exact = frozenset(whole)
         self.stems = {t[:-1]: t for t in model.terms if t.endswith(STEM)}
         self.stem_sizes = sorted({len(t) for t in self.stems}, reverse=True)
-        self.trie = Trie(long)
-        self.least, self.most = min(map(len, long), default=99) - 1, max(map(len, long), default=0) + 1
-        # One edit leaves the first or the second half of a term as it was, at that end of the word.
-        self.heads = frozenset(t[: len(t) // 2] for t in long)
-        self.tails = frozenset(t[len(t) // 2 :] for t in long)
-        self.head_sizes, self.tail_sizes = (sorted({len(x) for x in h}) for h in (self.heads, self.tails))
+        #: For one edit and for two: the trie of the terms, and what is left of whole terms and stems without so many letters.
+        self.tries = []
+        for limit in (1, 2):
+            terms = [t for t in model.terms if edits_allowed(t) == limit]
+            ends, stems = [t for t in terms if not t.endswith(STEM)], [t[:-1] for t in terms if t.endswith(STEM)]
+            left = [frozenset().union(*(shortened(t, limit) for t in kind)) for kind in (ends, stems)]
+            sizes = [range(min(map(len, kind)) - limit, max(map(len, kind)) + limit + 1) if kind else range(0) for kind in (ends, stems)]
+            if terms:
+                ends_of = {n: [letters(t) for t in ends if abs(len(t) - n) <= limit] for n in sizes[0]}
+                stems_of = [(len(t) + limit, letters(t)) for t in stems]
+                self.tries.append((limit, Trie(terms), *left, ends_of, sizes[1], stems_of))
 
     def __call__(self, word: str) -> tuple[str, int] | None:
         """The term that ``word`` is or resembles, and the edits between them."""
-        if word in self.exact:
-            return word, 0
-        for n in self.stem_sizes:
-            if word[:n] in self.stems and len(word) >= n:
-                return self.stems[word[:n]], 0
-        if not self.least <= len(word) <= self.most or word in self.model.innocent:
-            return None
-        plain = word if word.isalpha() else word.translate(SIGNS)
-        if not (any(plain[:n] in self.heads for n in self.head_sizes) or any(plain[-n:] in self.tails for n in self.tail_sizes)):
+        if term := self._same(word):
+            return term, 0
+        if len(word) < 3 or word in self.model.innocent:
             return None
         if word not in self.memo:
             if len(self.memo) >= self.size:
                 self.memo.clear()
-            found = intersect(self.trie, plain, 1)
-            self.memo[word] = found and (found[0], 1)
+            self.memo[word] = self._near(word)
         return self.memo[word]
 
+    def _same(self, word: str) -> str | None:
+        if word in self.exact:
+            return word
+        return next((self.stems[word[:n]] for n in self.stem_sizes if word[:n] in self.stems), None)
+
+    def _near(self, word: str) -> tuple[str, int] | None:
+        """The nearest term; signs read as letters are an edit at least."""
+        plain = word if word.isalpha() else word.translate(SIGNS)
+        if plain != word and (term := self._same(plain)):
+            return term, 1
+        held = letters(plain)
+        for limit, trie, ends, stems, ends_of, stem_sizes, stems_of in self.tries:
+            # An edit takes or brings one letter at most; what is within so many edits is the same without so many letters.
+            alike = any((t & ~held).bit_count() <= limit and (held & ~t).bit_count() <= limit for t in ends_of.get(len(plain), ()))
+            possible = alike and not ends.isdisjoint(shortened(plain, limit))
+            if not possible and any((t & ~held).bit_count() <= limit and (t & ~letters(plain[:n])).bit_count() <= limit for n, t in stems_of):
+                possible = any(n <= len(plain) and not stems.isdisjoint(shortened(plain[:n], limit)) for n in stem_sizes)
+            if possible and (found := intersect(trie, plain, limit, True)):
+                return found[0], max(found[1], 1)
+        return None
+
     def hits(self, text: str) -> tuple[list[str], dict[str, tuple[str, int]]]:
         """The tokens of a text, and its distinct words that hit with term and distance."""
         words = TOKEN.findall(text.lower())
@@ -241,18 +305,29 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, r
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(w, h) for t, h in zip(batch["text"].to_pylist(), batch["half"].to_pylist(), strict=True) for w, m in finder.hits(t)[1].items() if m[1]]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([h for _, h in found], pa.int32())], ["w", "half"])
-
-    # Ordinary words that are near a term: clean documents of the sample hold them.  The weights are
-    # fitted on one half with what the other half shows, as later texts bring words not yet seen.
-    near = sample.where("y = 0").select("text", "half").mapInArrow(variants, "w string, half int").distinct().collect() if model.terms else []
-    model.innocent = frozenset(r["w"] for r in near if r["half"] == 0)
+            found = [(w, h, y) for t, h, y in zip(*(batch[n].to_pylist() for n in ("text", "half", "y")), strict=True) for w, m in finder.hits(t)[1].items() if m[1]]
+            columns = zip(*found, strict=True) if found else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32()), strict=True)], ["w", "half", "y"])
+
+    # Ordinary words that are near a term: a larger share of the clean documents of the sample than of the
+    # toxic ones holds them.  The weights are fitted on one half with what the other half shows, as later
+    # texts bring words not yet seen.
+    near = sample.select("text", "half", "y").mapInArrow(variants, "w string, half int, y int").groupBy("w", "half", "y").count().collect() if model.terms else []
+    held = {(r["half"], r["y"]): r["count"] for r in sample.groupBy("half", "y").count().collect()}
+
+    def innocent(halves: tuple[int, ...]) -> frozenset[str]:
+        share: dict[str, list[float]] = {}
+        for r in near:
+            if r["half"] in halves:
+                share.setdefault(r["w"], [0.0, 0.0])[r["y"]] += r["count"] / sum(held.get((h, r["y"]), 0) for h in halves)
+        return frozenset(w for w, (clean, toxic) in share.items() if clean > toxic)
+
+    model.innocent = innocent((0,))
     x, y = [], []
     for r in _features(sample.where("half = 1"), model, ["y int"]).collect():
         x.append(r["features"])
         y.append(r["y"])
-    model.innocent = frozenset(r["w"] for r in near)
+    model.innocent = innocent((0, 1))
     prior = labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), folds) != held_out)).agg(F.avg("toxic")).first()[0]
     model.weights = Logistic(np.array(x, dtype=float).reshape(-1, FEATURES), np.array(y, dtype=float), l2=0.3, prior=min(max(prior or 0.5, 0.02), 0.98))
     drop(sample)
