@@ -15,18 +15,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.arrays import long_array
 from ..operators.scratch import keep
-from .tokens import default_path, encoder
+from .tokens import binaries, default_path, encoder
 
 
 def lengths_of(n: int, longest: int) -> list[int]:
     """The pieces' lengths of a document of ``n`` tokens."""
-    rest = n % longest
-    return [longest] * (n // longest) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+    return all_lengths(np.array([n]), longest)[0].tolist()
+
+
+def all_lengths(n: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces' lengths of documents of ``n`` tokens one after the other, and how many pieces each has."""
+    bits = np.arange(longest.bit_length() - 2, -1, -1)
+    times = np.concatenate([(n // longest)[:, None], (n % longest)[:, None] >> bits & 1], axis=1)
+    sizes = np.tile(np.concatenate([[longest], 1 << bits]), len(n))
+    return np.repeat(sizes, times.ravel()), times.sum(axis=1)
 
 
 def pieces(docs: DataFrame, path: str | None = None, longest: int = 2048) -> DataFrame:
@@ -39,15 +47,12 @@ def pieces(docs: DataFrame, path: str | None = None, longest: int = 2048) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                part = batch.slice(k, 200)
-                rows = []
-                for doc_id, ids in zip(part["doc_id"].to_pylist(), enc.encode(part["text"].to_pylist()), strict=True):
-                    cut, start, n = ids.astype("<u4", copy=False).tobytes(), 0, len(ids)
-                    for length in lengths_of(n, longest):
-                        rows.append((doc_id, start, length, n, cut[4 * start : 4 * (start + length)]))
-                        start += length
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.binary()], strict=True)], names)
+            flat, count = enc.encode_flat(batch["text"])
+            sizes, times = all_lengths(count, longest)
+            # A document's pieces start where those before them end, which its own first token counts from.
+            start = np.cumsum(sizes) - sizes - np.repeat(np.cumsum(count) - count, times)
+            doc_id = batch["doc_id"].take(pa.array(np.repeat(np.arange(len(count)), times)))
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(start), pa.array(sizes), pa.array(np.repeat(count, times)), binaries(flat, sizes, "<u4")], names)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary")
 
