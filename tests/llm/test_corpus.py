@@ -289,7 +289,7 @@ TEXTS = ["", "  ", "It's you're we'll '' 'store 'sx don't", "Äpfel ÖÜ ß ÿ 
 
 
 def test_encoder_equals_the_library():
-    e = tokens.Encoder(tokens.default_path(), memo=20)
+    e = tokens.Encoder(tokens.default_path(), chunk=200, longest=12)
     for t in TEXTS + [" ".join(f"w{k}," for k in range(300))]:
         assert e.encode([t])[0].tolist() == [*e.library.encode(t or "", add_special_tokens=False).ids, 1]
 
@@ -322,6 +322,21 @@ def test_token_files_hold_every_document_in_order(spark, edge, empty):
     assert huffman.read_files(huffman.write_files(empty)).count() == 0
 
 
+def test_token_files_are_left_as_files(spark, edge, tmp_path):
+    made = huffman.write_files(edge, tokens_per_file=100)
+    names = {r["name"]: r["bytes"] for r in huffman.save_files(made, f"file://{tmp_path}/out").collect()}
+    assert names == {f.name: f.stat().st_size for f in (tmp_path / "out").iterdir() if f.suffix == ".tlh"} and len(names) == made.count()
+    back = huffman.load_files(spark, f"{tmp_path}/out")
+    assert rows(back.select("part", "seq", "n_tokens").orderBy("part", "seq"), "part", "seq", "n_tokens") == rows(made.orderBy("part", "seq"), "part", "seq", "n_tokens")
+    assert sorted(huffman.read_files(back).collect(), key=str) == sorted(huffman.read_files(made).collect(), key=str)
+
+
+def test_checkpoints_count_beyond_32_bits():
+    lengths = huffman.code_lengths(np.array([3, 2, 1]), 16)
+    points, _ = huffman.encode_block(np.array([0, 1, 2, 1]), huffman.canonical_codes(lengths), lengths, 2)
+    assert len(points) == 16 and np.frombuffer(points, "<u8").tolist() == [0, int(lengths[0]) + int(lengths[1])]
+
+
 def test_pieces_are_powers_of_two_and_cover_each_document(spark, edge, empty):
     e = tokens.encoder(tokens.default_path())
     out = packing.pack(edge).collect()
