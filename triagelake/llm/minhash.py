@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.components import connected_components
 from ..operators.scratch import keep
+from ..operators.skew import join_by_weight
 
 #: Words as in benchmark decontamination.
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -216,15 +217,16 @@ def _unique_shingles(texts: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """One row per document: id, at, class_id (least doc_id of its class), class_size, n_links, kept.
+    """One row per document: id, at, class_id, class_size, first_id, kept.
 
-    ``n_links`` counts the links found for the document's text with other texts;
-    within classes only enough are sought to hold them together.  ``kept`` marks
-    one row of each class, the one with the least id.
+    ``class_id`` names a class by a row number that no other class has, whatever
+    the documents' ids; ``first_id`` is its least id.  ``kept`` marks one row of
+    each class, the one with the least id.
     """
     signed = keep(sign(docs).withColumn("rid", F.monotonically_increasing_id()), "signed")
     # Equal texts first: a node per text.  Copies are counted where they are read.
-    nodes = keep(signed.groupBy("k1", "k2").agg(F.min("rid").alias("node"), F.min_by(F.struct("id", "at", "n", "bands"), "rid").alias("r")).select("k1", "k2", "node", "r.*"), "nodes")
+    first_row = F.min(F.struct(F.col("id").isNull(), "id", "rid")).alias("one")
+    nodes = keep(signed.groupBy("k1", "k2").agg(F.min("rid").alias("node"), F.count("*").alias("copies"), first_row, F.min_by(F.struct("id", "at", "n", "bands"), "rid").alias("r")).select("k1", "k2", "node", "copies", "one", "r.*"), "nodes")
     members = keep(nodes.select("node", F.explode("bands").alias("bucket")), "members")
     full = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = keep(members.join(full, "bucket"), "shared")
@@ -262,11 +264,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         either = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         more = keep(more.join(either, ["a", "b"], "left_anti"), "more-pairs")
     if more is not None and not more.isEmpty():
-        links = keep(links.unionByName(_verify(more, texts_of(more), threshold)), "links")
-        done = connected_components(links, "a", "b")
-    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    classes = nodes.select("k1", "k2", "node").join(done, "node", "left").join(degree, "node", "left")
-    classes = classes.select("k1", "k2", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    rows = keep(signed.select("id", "at", "rid", "k1", "k2").join(classes, ["k1", "k2"]), "class-rows")
-    best = rows.groupBy("component").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(F.col("id").isNull(), "id", "rid")).alias("one"))
-    return rows.join(best, "component").select("id", "at", "class_id", "class_size", F.col("n_links").cast("bigint").alias("n_links"), (F.col("rid") == F.col("one.rid")).alias("kept"))
+        # Only what joins two components is new: the graph of components is small.
+        found = _verify(more, texts_of(more), threshold)
+        part = lambda end: done.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+        bridges = found.join(part("a"), "a", "left").join(part("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        joined = keep(connected_components(bridges, "a", "b").select("node", F.col("component").alias("to")), "bridges")
+        nodes = nodes.join(done, "node", "left").withColumn("component", F.coalesce("component", "node")).join(joined.withColumnRenamed("node", "component"), "component", "left")
+        nodes = nodes.withColumn("component", F.coalesce("to", "component"))
+    else:
+        nodes = nodes.join(done, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # Copies were counted with their text, so that a class is as many rows as it has texts.
+    placed = keep(nodes.select("k1", "k2", "component", "copies", "one"), "placed")
+    best = keep(placed.groupBy("component").agg(F.sum("copies").alias("class_size"), F.count("*").alias("texts"), F.min("one").alias("best")), "classes")
+    classed = keep(join_by_weight(placed, best, ["component"], "texts"), "placed-classes")
+    rows = join_by_weight(signed.select("id", "at", "rid", "k1", "k2"), classed, ["k1", "k2"], "copies")
+    return rows.select("id", "at", F.col("component").alias("class_id"), "class_size", F.col("best.id").alias("first_id"), (F.col("rid") == F.col("best.rid")).alias("kept"))
