@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by inner product with a permutation index.
 
-Pivots are a bounded sample of the vectors.  A vector is represented by its
-nearest pivots in order.  Inner product is turned into an angle first: with M
+Pivots are a bounded sample of the vectors (``pivots``, 4,096).  A vector is
+represented by its ``prefix`` nearest pivots in order.  Inner product is turned into an angle first: with M
 the largest norm, a vector x becomes (x/M, sqrt(1 - |x|^2/M^2)) and a query q
 becomes (q/|q|, 0), whose inner product has the same order.  The index is a
 table of blocks; within a block each pivot posts the vectors that name it, with
@@ -17,7 +17,9 @@ Cases: vectors that are null, empty or zero or hold null or non-finite
 components take no part, nor do those of another dimension than most have (of
 equally frequent ones the larger); a null id takes no part; fewer candidates
 than ``k`` are returned all; repeated rows of one id are one candidate each, and
-those with the query's own id are none; no vectors, no rows.
+those with the query's own id are none; equal query rows are one query, rows of
+one id with different vectors are queries of their own, each with its ranks; no
+vectors, no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,7 +54,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 class Index:
     """``table``: (vec_id, block, v, perm binary: the nearest pivots' numbers in order, uint16)."""
 
-    def __init__(self, vectors: DataFrame, pivots: int = 256, prefix: int = 64, block_rows: int = 8192) -> None:
+    def __init__(self, vectors: DataFrame, pivots: int = 4096, prefix: int = 64, block_rows: int = 16_384) -> None:
         rows = keep(usable(vectors), "vectors")
         dims = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("m")).orderBy(F.desc("n"), F.desc("d")).first()
         self.dim = dims["d"] if dims else 0
@@ -79,8 +81,9 @@ class Index:
     def lift(self, x: np.ndarray) -> np.ndarray:
         return lift(x, self.largest)
 
-    def search(self, wanted: DataFrame, k: int = 20, share: float = 0.15, batch_rows: int = 4096) -> DataFrame:
+    def search(self, wanted: DataFrame, k: int = 20, share: float = 0.08, batch_rows: int = 4096) -> DataFrame:
         """The ``k`` nearest of every (vec_id, v) row of ``wanted``, as :data:`RESULT`."""
+        wanted = keep(wanted.where(F.size("v") == self.dim).select("vec_id", "v", F.xxhash64("v").alias("own")).distinct(), "queries")
         n = wanted.count()
         spark = wanted.sparkSession
         if not n or not self.dim:
@@ -88,7 +91,7 @@ class Index:
         batches = max(1, -(-n // batch_rows))
         dim, pivot, l = self.dim, self.pivots, self.prefix
         part = F.pmod(F.xxhash64("vec_id", F.lit("q")), F.lit(batches)).cast("int")
-        ask = wanted.where(F.size("v") == dim).select("vec_id", "v", part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1))).alias("block"))
+        ask = wanted.select("vec_id", "own", "v", part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1))).alias("block"))
         data = self.table.select("vec_id", "v", "perm", "block", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("part"))
 
         def answer(queries: pa.Table, rows: pa.Table) -> pa.Table:
@@ -102,20 +105,20 @@ class Index:
                 unit = np.c_[q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros(len(q))]
                 order = nearest(unit @ pivot.T, l)
                 take = min(len(x), max(16 * k, int(np.ceil(share * len(x)))) + 1)
-                for i, own in enumerate(queries["vec_id"].to_pylist()):
+                for i, (query, own) in enumerate(zip(queries["vec_id"].to_pylist(), queries["own"].to_pylist(), strict=True)):
                     cand = candidates(order[i], files, len(x), l, take)
                     score = x[cand] @ q[i]
-                    score[ids[cand] == own] = -np.inf
+                    score[ids[cand] == query] = -np.inf
                     best = min(k, len(cand))
                     edge = np.partition(score, len(score) - best)[len(score) - best]
                     top = np.flatnonzero((score >= edge) & (score > -np.inf))
                     top = top[np.lexsort((ids[cand[top]], -score[top]))][:k]
-                    got.append((np.full(len(top), own), ids[cand[top]], score[top]))
-            cols = [np.concatenate(c) for c in zip(*got, strict=True)] if got else [[], [], []]
-            return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
+                    got.append((np.full(len(top), query), np.full(len(top), own), ids[cand[top]], score[top]))
+            cols = [np.concatenate(c) for c in zip(*got, strict=True)] if got else [[], [], [], []]
+            return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "own", "vec_id", "score"])
 
-        found = ask.groupBy("block", "part").cogroup(data.groupBy("block", "part")).applyInArrow(answer, "query_id bigint, vec_id bigint, score double")
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        found = ask.groupBy("block", "part").cogroup(data.groupBy("block", "part")).applyInArrow(answer, "query_id bigint, own bigint, vec_id bigint, score double")
+        rank = F.row_number().over(Window.partitionBy("query_id", "own").orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -132,24 +135,22 @@ def nearest(near: np.ndarray, l: int) -> np.ndarray:
     return np.take_along_axis(some, order, axis=1).astype(np.uint16)
 
 
-def inverted(perm: np.ndarray, pivots: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each pivot its posting list: rows that name it, and its rank with them."""
-    n, l = perm.shape
+def inverted(perm: np.ndarray, pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The posting lists of all pivots one after the other: rows, each one's rank of the pivot, and where lists start."""
+    l = perm.shape[1]
     flat = perm.ravel()
     order = np.argsort(flat, kind="stable")
-    ends = np.cumsum(np.bincount(flat, minlength=pivots))
-    rows, ranks = (order // l).astype(np.int32), (order % l).astype(np.int16)
-    return [(rows[a:b], ranks[a:b]) for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)]
+    return order // l, order % l, np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=pivots))])
 
 
-def candidates(order: np.ndarray, files: list[tuple[np.ndarray, np.ndarray]], n: int, l: int, take: int) -> np.ndarray:
+def candidates(order: np.ndarray, files: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, l: int, take: int) -> np.ndarray:
     """The ``take`` rows of least footrule distance, where a pivot that is not named has rank ``l``.
 
     A row's distance is a constant less what its postings gain: for a pivot at
     rank i with the query and j with the row, (l - i) + (l - j) - |i - j|.
     """
-    gain = np.zeros(n, dtype=np.int16 if 2 * l * l < 32000 else np.int32)
-    for i, p in enumerate(order):
-        rows, ranks = files[p]
-        gain[rows] += 2 * (l - np.maximum(ranks, i)).astype(gain.dtype)
+    rows, ranks, starts = files
+    size = starts[order.astype(np.int64) + 1] - starts[order]
+    read = np.repeat(starts[order] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    gain = np.bincount(rows[read], weights=2 * (l - np.maximum(ranks[read], np.repeat(np.arange(len(order)), size))), minlength=n)
     return np.argpartition(-gain, take - 1)[:take] if take < n else np.arange(n)
