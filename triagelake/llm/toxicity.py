@@ -252,20 +252,28 @@ def _stems(words: Column, n: int) -> Column:
     return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit(STEM)))
 
 
-def learn_lexicon(sample: DataFrame, min_docs: int = 4, candidates: int = 2000, min_share: float = 0.35) -> dict[str, float]:
+def learn_lexicon(sample: DataFrame, min_docs: int = 4, min_share: float = 0.35, evidence: float = 30.0) -> dict[str, float]:
     """Words and stems that toxic documents hold far more often than others, taken greedily while they explain new ones.
 
-    Copies of a text count once.  ``candidates`` bounds what reaches the driver.
+    Copies of a text count once.  A term needs ``min_docs`` toxic documents, a
+    hundredth of all of them at least, ``min_share`` of its documents, and so
+    many more than chance would give it that their log-likelihood ratio reaches
+    ``evidence``: among a million words none gets there by luck.  What reaches
+    the driver is bounded by the sample's rows.
     """
     words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0)), lambda w: (F.length(w) >= 4) & (F.length(w) <= 30)))
     once = sample.select("doc_id", "y", words.alias("w"), F.xxhash64("text").alias("h")).dropDuplicates(["h"])
     stems = [_stems(F.col("w"), n) for n in (4, 5, 6, 7)]
     each = once.select("doc_id", "y", F.explode(F.array_distinct(F.concat("w", *stems))).alias("term"))
-    stats = each.groupBy("term").agg(F.sum("y").cast("bigint").alias("bad"), F.count("*").alias("n"))
-    stats = stats.where((F.col("bad") >= min_docs) & (F.col("bad") >= min_share * F.col("n"))).orderBy(F.desc(F.col("bad") * F.col("bad") / F.col("n")), "term").limit(candidates)
-    stats = keep(stats, "toxic-terms")
-    rows = each.where("y = 1").join(F.broadcast(stats), "term").groupBy("term", "bad", "n").agg(F.collect_set("doc_id").alias("ids")).collect()
-    n_bad, n_all = once.agg(F.sum("y"), F.count("*")).first()
+    n_bad, n_all = once.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
+    if not 0 < n_bad < n_all:
+        return {}
+    least = max(min_docs, 0.01 * n_bad)
+    stats = each.groupBy("term").agg(F.sum("y").cast("bigint").alias("bad"), F.count("*").alias("n")).where((F.col("bad") >= least) & (F.col("bad") >= min_share * F.col("n")))
+    surprise = lambda seen, share: F.when(seen > 0, seen * F.log(seen / (F.col("n") * share))).otherwise(F.lit(0.0))
+    ratio = 2 * (surprise(F.col("bad"), n_bad / n_all) + surprise(F.col("n") - F.col("bad"), 1 - n_bad / n_all))
+    stats = keep(stats.where((ratio >= evidence) & (F.col("bad") * n_all > F.col("n") * n_bad)), "toxic-terms")
+    rows = each.where("y = 1").join(stats, "term").groupBy("term", "bad", "n").agg(F.collect_set("doc_id").alias("ids")).collect()
     left = {r["term"]: set(r["ids"]) for r in rows}
     share = {r["term"]: r["bad"] / (r["n"] + 0.5) for r in rows}
     odds = {r["term"]: np.log((r["bad"] + 0.5) / (r["n"] - r["bad"] + 0.5) * (n_all - n_bad + 0.5) / (n_bad + 0.5)) for r in rows}
@@ -284,12 +292,12 @@ def learn_lexicon(sample: DataFrame, min_docs: int = 4, candidates: int = 2000,
     # First what hardly any other document holds.
     explained: set = set()
     for t in sorted(left, key=lambda t: (-len(left[t]), -len(t), t)):
-        if t in left and share[t] >= 0.9 and len(left[t]) >= max(min_docs, 0.02 * n_bad):
+        if t in left and share[t] >= 0.9 and len(left[t]) >= max(least, 0.02 * n_bad):
             take(t)
     # Then what explains the rest, though others hold it too; how often and in how many forms decides later.
     while left:
         best = max(left, key=lambda t: (len(left[t] - explained) * share[t] ** 0.5, len(t), t))
-        if len(left[best] - explained) < max(min_docs, 0.01 * n_bad):
+        if len(left[best] - explained) < least:
             break
         take(best)
     drop(stats)
