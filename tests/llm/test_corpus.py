@@ -113,6 +113,64 @@ def test_discovered_identifiers_discover_further_patterns(spark):
     assert got[100] == "email:6:15" and got[200] == "email:7:16" and got[300] == "email:7:16" and got[400] == ""
 
 
+def test_keys_are_found_where_a_pattern_introduces_them(spark):
+    rng = random.Random(8)
+    key = lambda n=40: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    docs = [(k, f'some w{"abcdefgh"[k % 8]} token = "{key()}" and more') for k in range(40)]
+    docs += [(100, f'X TOKEN = "{key().upper()}"!! Y'), (101, f"the commit {key()} is lone"), (102, 'the token = "short1" too')]
+    got = spans_of(spark, docs)
+    assert got[0] == "secret:17:57" and got[100] == "secret:11:51" and got[101] == "" and got[102] == "secret:13:19"
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"user{k}@mail.org" for k in range(20_000))
+    out = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(pii.as_text("base").alias("s")).first()["s"]
+    assert out == brute_spans(text)
+
+
+def brute_scores(edges, rounds=3, accept=0.8, min_seeds=5, damping=2.0):
+    at, kind = {}, {}
+    for w, i, k in edges:
+        at.setdefault(w, set()).add(i)
+        if k is not None:
+            kind[i] = max(kind.get(i, k), k)
+    while True:
+        belief = {(i, k): 1.0 for i, k in kind.items()}
+        for step in range(rounds):
+            s = Counter()
+            for w, inst in at.items():
+                for (i, k), b in belief.items():
+                    if i in inst:
+                        s[w, k] += b / (len(inst) + damping)
+            if step + 1 < rounds:
+                not_told = {}
+                for (w, k), v in s.items():
+                    for i in at[w] - set(kind):
+                        not_told[i, k] = not_told.get((i, k), 1.0) * max(1e-6, 1 - 0.5 * v)
+                belief = {(i, k): 1.0 for i, k in kind.items()} | {x: 1 - v for x, v in not_told.items()}
+        sure = {}
+        for (w, k), v in sorted(s.items(), key=lambda x: (-x[1], x[0][1])):
+            if v >= accept and sum(kind.get(i) == k for i in at[w]) >= min_seeds:
+                sure.setdefault(w, (k, v))
+        more = {}
+        for w, (k, v) in sure.items():
+            for i in at[w] - set(kind):
+                more[i] = min(more.get(i, (-v, k)), (-v, k))
+        if not more:
+            return {w: (k, round(v, 9)) for w, (k, v) in sure.items()}
+        kind |= {i: k for i, (_, k) in more.items()}
+
+
+def test_pattern_scores_equal_a_plain_version(spark):
+    rng = random.Random(12)
+    edges = [(w, f"i{rng.randrange(40 * w, 40 * w + 70)}", None) for w in range(8) for _ in range(40)]
+    seeds = {f"i{k}": rng.choice([0, 0, 1]) for k in range(400) if rng.random() < 0.85}
+    edges = [(f"w{w}", i, seeds.get(i)) for w, i, _ in edges]
+    got = pii.score_patterns(spark.createDataFrame([(*e, 1) for e in edges], "word string, instance string, kind int, n long"), accept=0.55).collect()
+    want = brute_scores(edges, accept=0.55)
+    assert want and {r["word"]: (r["kind"], round(r["score"], 9)) for r in got} == want
+
+
 def luhn(digits):
     total = sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(int(x) for x in reversed(digits)))
     return total % 10 == 0
@@ -197,6 +255,12 @@ def test_near_duplicates_edges(edge):
     assert {r["class_size"] for r in out if r["id"] in (2, 3)} == {2}
 
 
+def test_classes_of_null_or_shared_ids_stay_apart(spark):
+    docs = [(None, "one text of its own here"), (None, "another text that nobody shares"), (7, "a third text of words"), (7, "the fourth text, different"), (None, "one text of its own here")]
+    out = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert Counter(r["class_id"] for r in out).most_common(1)[0][1] == 2 and len({r["class_id"] for r in out}) == 4 and sum(r["kept"] for r in out) == 4
+
+
 # 5, 6 ----------------------------------------------------------------------------------------------
 
 
@@ -405,6 +469,20 @@ def test_ann_recall_and_exact_scores(spark):
     assert hit / (75 * 20) >= 0.9
 
 
+def test_ann_recall_at_the_real_share(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(9000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = ann.Index(spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(x)], "vec_id long, embedding array<double>"))
+    asked = index.table.where("vec_id % 100 = 0").select("vec_id", "v")
+    got: dict = {}
+    for r in index.search(asked.unionByName(asked.where("vec_id < 500")), k=20).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert all(len(v) == len(set(v)) == 20 for v in got.values())
+    hit = sum(len(set(v) & set(np.argsort(-np.where(np.arange(9000) == q, -9, x @ x[q]))[:20].tolist())) for q, v in got.items())
+    assert len(got) == 90 and hit / (90 * 20) >= 0.9
+
+
 def test_ann_small_and_empty(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 3.0])], "vec_id long, embedding array<double>")
     index = ann.Index(few)

@@ -69,15 +69,18 @@ def train_dictionary(texts: list[str], size: int = 65_536) -> bytes:
         return b"".join(samples)[:size]
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, rows: int = 6_000, max_bytes: int = 32_768) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, rows: int = 6_000, max_bytes: int = 32_768, dictionary_chars: int = 6_000_000) -> Model:
     """Learn from at most ``rows`` labelled documents outside the held-out fold.
 
+    A label's dictionary is built from at most ``dictionary_chars`` characters of
+    them, in the order of the sample's hash, and a text more.
+
     Half of them give the dictionaries, the other half the calibration.
     """
     sample = keep(labelled_sample(docs, labels, "quality", folds, held_out, rows, max_bytes).withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2))), "quality-sample")
     texts: dict[int, list[str]] = {0: [], 1: []}
-    room = {0: 6_000_000, 1: 6_000_000}
-    for r in sample.where("half = 0").orderBy("doc_id").toLocalIterator():
+    room = {0: dictionary_chars, 1: dictionary_chars}
+    for r in sample.where("half = 0").orderBy(F.xxhash64("doc_id"), "doc_id", "text").toLocalIterator():
         if room[r["y"]] > 0:
             texts[r["y"]].append(r["text"])
             room[r["y"]] -= len(r["text"])

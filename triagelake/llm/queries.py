@@ -17,7 +17,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pii.find(_table(spark, sf_dir, "documents"))
-    return done.select("doc_id", *[pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
+    return done.select("doc_id", *[pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("bigint").alias("n_added"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = minhash.near_duplicates(_table(spark, sf_dir, "documents"), 0.8)
-    return done.select(F.col("id").alias("doc_id"), "class_id", "class_size", "n_links", "kept")
+    return done.select(F.col("id").alias("doc_id"), "class_id", "class_size", "first_id", "kept")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
