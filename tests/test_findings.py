@@ -132,7 +132,7 @@ def test_evaluation(spark):
 
 
 def test_false_positive_rules(spark):
-    env = fp.environment(spark.createDataFrame([("Dockerfile", "FROM python:3-slim"), ("wsgi.cfg", "gunicorn app")], "path string, text string"))
+    env = fp.environment(spark.createDataFrame([("Dockerfile", "FROM python:3-slim"), ("Procfile", "web: gunicorn app.wsgi")], "path string, text string"))
     assert tuple(env.first()) == (True, True, False)
     f = finding(spark, [
         {"engine": "dependency", "title": "x", "file": "r.txt", "description": "only on Windows"}, {"engine": "bandit", "title": "pw", "file": "tests/a.py", "cwe": "CWE-259", "evidence": "p = 'x'"},
@@ -180,7 +180,7 @@ def test_sets_health_and_reports(spark):
     doc = json.loads("".join(_joined(report.sarif(f))))
     assert [r["id"] for r in doc["runs"][0]["tool"]["driver"]["rules"]] == ["bandit-B1", "crypto-odd-title"] and doc["runs"][0]["results"][0]["level"] == "error"
     assert report.gate(f) and "| critical | 1 |" in report.summary(f)
-    assert json.loads(report.sparse_json(f).where("fid = 1").first()["json"]) == {"engine": "crypto", "title": "odd title!", "file": "b.py", "severity": 2.0, "extra": {}}
+    assert json.loads(report.sparse_json(f).where("fid = 1").first()["json"]) == {"engine": "crypto", "title": "odd title!", "file": "b.py", "severity": 2.0}
 
 
 def _joined(rows):

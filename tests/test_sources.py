@@ -29,7 +29,7 @@ def test_reports(spark):
     assert [(r["file"], r["cwe"], r["severity"], r["exploitability"], r["fp_likelihood"], r["exposure"]) for r in found] == [("tests/a.py", "CWE-703", 2.5, 0.05, "HIGH", "TEST")]
     sem = {"results": [{"check_id": "a/b/rules.py.x", "path": "m.py", "start": {"line": 2}, "end": {"line": 3}, "extra": {"message": "First. Second.", "severity": "ERROR", "lines": "l", "metadata": {"cwe": "CWE-89: x"}}}]}
     r = reports.semgrep(spark.createDataFrame([(json.dumps(sem),)], "json string")).first()
-    assert (r["title"], r["cwe"], r["extra"]["check_id"], r["extra"]["line_range"]) == ("First.", "CWE-89", "rules.py.x", [2, 3])
+    assert (r["title"], r["cwe"], r["extra"]["check_id"], r["extra"]["line_range"]) == ("Semgrep x: First", "CWE-89", "py.x", [2, 3])
 
 
 def test_python_facts_and_graph(spark):

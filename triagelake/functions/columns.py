@@ -213,8 +213,10 @@ def cvss3(vector: Column) -> Column:
 # Versions --------------------------------------------------------------------------------------
 
 
-def version_key(version: Column, width: int = 6) -> Column:
-    """An array that orders versions: epoch, release numbers, then pre < final < post and dev below; null if it is none.
+def version_key(version: Column) -> Column:
+    """A struct that orders versions: epoch, release numbers, then pre < final < post and dev below; null if it is none.
+
+    Releases are compared number by number, however many they have; zeros at the end don't count.
 
     Covers the public version scheme but for local parts, which are ignored.
     """
@@ -223,18 +225,20 @@ def version_key(version: Column, width: int = 6) -> Column:
     g = lambda k: F.regexp_extract(v, shape, k)
     num = lambda c: F.coalesce(c.try_cast("bigint"), F.lit(0))
     release = F.transform(F.split(g(2), r"\."), lambda p: num(p))
-    padded = F.slice(F.concat(release, F.array_repeat(F.lit(0).cast("bigint"), width)), 1, width)
+    # The last place of a number that isn't 0.
+    used = F.aggregate(F.sequence(F.lit(1), F.size(release)), F.lit(0), lambda n, k: F.when(F.get(release, k - 1) != 0, k).otherwise(n))
     pre, has_post, dev = g(3), (g(5) != "") | (g(6) != ""), g(8) != ""
     rank = F.when(pre.isin("a", "alpha"), 1).when(pre.isin("b", "beta"), 2).when(pre != "", 3).when(dev & ~has_post, 0).otherwise(4).cast("bigint")
     post = F.when(has_post, num(F.concat(g(5), g(7))) + 1).otherwise(F.lit(0)).cast("bigint")
     before = F.when(dev, num(g(9))).otherwise(F.lit(2**40)).cast("bigint")
-    return F.when(v.rlike(shape), F.concat(F.array(num(g(1))), padded, F.array(rank, num(g(4)), post, before)))
+    key = F.struct(num(g(1)).alias("epoch"), F.slice(release, F.lit(1), used).alias("release"), rank.alias("rank"), num(g(4)).alias("pre"), post.alias("post"), before.alias("dev"))
+    return F.when(v.rlike(shape), key)
 
 
 def jump(current: Column, target: Column) -> Column:
     """major, minor or patch; calendar versions have no major jumps; what can't be compared is major."""
     c, t = version_key(current), version_key(target)
-    at = lambda k, i: F.get(k, i)
+    at = lambda k, i: F.coalesce(F.get(k["release"], i - 1), F.lit(0))
     calendar = (at(c, 1) >= 1000) | (at(t, 1) >= 1000)
     moved = (at(c, 1) != at(t, 1)) | (at(c, 2) != at(t, 2))
     return (

@@ -33,15 +33,20 @@ def provider_secret(title: Column, text: Column, extra: Column) -> Column:
 
 
 def environment(files: DataFrame) -> DataFrame:
-    """One row of booleans from (path, text): is_linux, is_wsgi_only, has_proxy."""
-    name = F.lower(F.element_at(F.split(posix(F.col("path")), "/"), -1))
+    """One row of booleans from (path, text): is_linux, is_wsgi_only, has_proxy.
+
+    The first two come from files at the root, the third from settings in any folder.
+    """
+    path = F.regexp_replace(posix(F.col("path")), r"^(\./)+", "")
     text = F.lower(F.coalesce("text", F.lit("")))
-    any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    holds = lambda words: F.exists(strings(words), lambda w: F.contains(text, w))
+    any_of = lambda c, name: F.coalesce(F.bool_or(c), F.lit(False)).alias(name)
+    serves = holds(["gunicorn"]) & holds(["wsgi"]) & ~holds(["uvicorn"])
     return files.agg(
-        any_of(F.startswith(name, F.lit("dockerfile")) & text.rlike(r"from\s+\S*(alpine|debian|ubuntu|python|slim|linux)")).alias("is_linux"),
-        any_of(text.rlike(r"gunicorn|uwsgi|wsgi_application")).alias("_wsgi"), any_of(text.rlike(r"uvicorn|daphne|hypercorn|asgi_application")).alias("_asgi"),
-        any_of(text.rlike(r"https?_proxy|proxies\s*=")).alias("has_proxy"),
-    ).select("is_linux", (F.col("_wsgi") & ~F.col("_asgi")).alias("is_wsgi_only"), "has_proxy")
+        any_of(((path == "Dockerfile") & holds(T.LINUX_IMAGES)) | ((path == "Procfile") & holds(["gunicorn", "uwsgi"])) | (path == "docker-compose.yml"), "is_linux"),
+        any_of(path.isin("Dockerfile", "Procfile") & serves, "is_wsgi_only"),
+        any_of(F.element_at(F.split(path, "/"), -1).isin(*T.SETTINGS_FILES) & holds(T.PROXY_SETTINGS), "has_proxy"),
+    )
 
 
 def classify(findings: DataFrame, env: DataFrame, training_paths: tuple[str, ...] = (), sql_safe: DataFrame | None = None) -> DataFrame:

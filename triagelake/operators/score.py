@@ -12,7 +12,7 @@ from ..functions.columns import band, clamp, lookup
 
 @dataclass(frozen=True)
 class ScoringConfig:
-    """Knobs of the score; all in [0, 1] but ``live_verified``, which is in [1, 5]."""
+    """Knobs of the score; all in [0, 1] but ``rotated``, in [0.05, 1], and ``live_verified``, in [1, 3]."""
 
     repo: float = T.REACH["REPO"]
     hist: float = T.REACH["HIST"]
@@ -31,7 +31,7 @@ class ScoringConfig:
 
     def __post_init__(self) -> None:
         for name, value in asdict(self).items():
-            low, high = (1.0, 5.0) if name == "live_verified" else (0.0, 1.0)
+            low, high = {"live_verified": (1.0, 3.0), "rotated": (0.05, 1.0)}.get(name, (0.0, 1.0))
             if not low <= value <= high:
                 raise ValueError(f"{name}={value} is not in [{low}, {high}]")
 
@@ -147,3 +147,14 @@ def severity_bands(findings: DataFrame) -> DataFrame:
 
 
 __all__ = ["ScoringConfig", "combine", "lookup", "ranked", "reach", "replace", "score", "severity_bands", "signals", "top", "weights_from"]
+
+
+def legacy_ranked(rows: DataFrame) -> DataFrame:
+    """By severity and exploitability alone."""
+    return rows.orderBy(F.desc("severity"), F.desc("exploitability"), "ord")
+
+
+def engine_order(rows: DataFrame, dependency: bool = False) -> DataFrame:
+    """The order in which an engine gives its findings; dependencies are told apart by title at the end."""
+    last = [F.col("title")] if dependency else []
+    return rows.orderBy(F.desc("severity"), F.desc("exploitability"), "file", F.coalesce("line", F.lit(0)), *last)

@@ -10,6 +10,7 @@ from ..functions import columns as C
 from ..functions import tables as T
 from ..operators import dedup, evaluate, fp, graph, health, remediate, score, sets, suppress, threat
 from ..operators.components import connected_components
+from ..schema import FINDING
 from ..sinks import report
 from .harness import F_CTE, findings, flat
 
@@ -93,10 +94,10 @@ def fingerprints(spark, sf_dir):
 
 
 def _baseline(spark, sf_dir):
-    return suppress.fingerprinted(findings(spark, sf_dir)).where("fid % 3 = 0").select(F.col("fp").alias("fingerprint"))
+    return suppress.fingerprinted(findings(spark, sf_dir)).where("event_type IN ('signup', 'view')").select(F.col("fp").alias("fingerprint"))
 
 
-@query(f"{_FP} SELECT fid, fp IN (SELECT fp FROM p WHERE fid % 3 = 0) AS known FROM p")
+@query(f"{_FP} SELECT fid, fp IN (SELECT fp FROM p WHERE event_type IN ('signup', 'view')) AS known FROM p")
 def baseline_match(spark, sf_dir):
     return suppress.in_baseline(findings(spark, sf_dir), _baseline(spark, sf_dir)).select("fid", "known")
 
@@ -171,26 +172,27 @@ def churn_by_suffix(spark, sf_dir):
     return health.churn_of(f, health.normalised(health.churn_counts(log), "commits")).select("fid", "churn")
 
 
-@query(" SELECT fid, CASE WHEN k * 20 > 1000 THEN 0.5e0 WHEN k * 20 > 600 THEN 0.35e0 WHEN k * 20 > 300 THEN 0.2e0 WHEN k * 20 > 150 THEN 0.1e0 ELSE 0.0e0 END AS penalty FROM f")
+@query(""" SELECT fid, round(least(1.0e0, CASE WHEN k * 20 > 1000 THEN 0.5e0 WHEN k * 20 > 600 THEN 0.35e0 WHEN k * 20 > 300 THEN 0.2e0 WHEN k * 20 > 150 THEN 0.1e0 ELSE 0.0e0 END
+ + CASE WHEN user_id % 9 >= 7 THEN 0.3e0 WHEN user_id % 9 >= 4 THEN 0.15e0 ELSE 0.0e0 END + least(0.2e0, (fid % 7) * 0.05e0) + least(0.2e0, (fid % 5) * 0.05e0)), 2) AS penalty FROM f""")
 def health_penalty(spark, sf_dir):
-    rows = findings(spark, sf_dir).select("fid", (F.col("k") * 20).alias("loc"), F.lit(0).alias("max_nesting"), F.lit(0).alias("bare_excepts"), F.lit(0).alias("long_functions"))
+    rows = findings(spark, sf_dir).select("fid", (F.col("k") * 20).alias("loc"), (F.col("user_id") % 9).alias("max_nesting"), (F.col("fid") % 7).alias("bare_excepts"), (F.col("fid") % 5).alias("long_functions"))
     return health.health_penalty(rows).select("fid", "penalty")
 
 
-@query(", sp AS (SELECT file, concat('fn', fid) AS name, line AS s, line + CAST(fid % 30 AS INT) AS e, ord FROM f WHERE fid % 10 = 0) SELECT f.fid AS pid, arg_min(name, (e - s) * 1e9 + sp.ord) AS name FROM f JOIN sp ON f.file = sp.file AND f.line BETWEEN s AND e GROUP BY 1")
+@query(", sp AS (SELECT file, concat('fn', fid) AS name, line AS s, line + CAST(fid % 30 AS INT) AS e, ord FROM f WHERE event_type = 'view') SELECT f.fid AS pid, arg_min(name, (e - s) * 1e9 + sp.ord) AS name FROM f JOIN sp ON f.file = sp.file AND f.line BETWEEN s AND e GROUP BY 1")
 def enclosing_function(spark, sf_dir):
     f = findings(spark, sf_dir)
-    spans = f.where("fid % 10 = 0").select("file", F.concat(F.lit("fn"), "fid").alias("name"), F.col("line").alias("start"), (F.col("line") + (F.col("fid") % 30).cast("int")).alias("end"), "ord")
+    spans = f.where("event_type = 'view'").select("file", F.concat(F.lit("fn"), "fid").alias("name"), F.col("line").alias("start"), (F.col("line") + (F.col("fid") % 30).cast("int")).alias("end"), "ord")
     return graph.enclosing(f.select(F.col("fid").alias("pid"), "file", "line"), spans)
 
 
 # Evaluation --------------------------------------------------------------------------------------
 
 
-@query(", lab AS (SELECT file, line, min(verdict) AS verdict, cwe AS tail FROM f WHERE fid % 50 = 0 AND cwe IS NOT NULL GROUP BY file, line, cwe), near AS (SELECT f.fid, abs(f.line - lab.line) AS gap, lab.verdict FROM f JOIN lab ON f.file = lab.file AND f.cwe = lab.tail AND abs(f.line - lab.line) <= 3) SELECT f.fid, v.verdict FROM f LEFT JOIN (SELECT fid, CASE WHEN min(gap) = 0 THEN max(verdict) FILTER (gap = 0) WHEN count(*) = 1 THEN max(verdict) END AS verdict FROM near GROUP BY fid) v ON f.fid = v.fid")
+@query(", lab AS (SELECT file, line, min(verdict) AS verdict, cwe AS tail FROM f WHERE event_type = 'signup' AND cwe IS NOT NULL GROUP BY file, line, cwe), near AS (SELECT f.fid, abs(f.line - lab.line) AS gap, lab.verdict FROM f JOIN lab ON f.file = lab.file AND f.cwe = lab.tail AND abs(f.line - lab.line) <= 3) SELECT f.fid, v.verdict FROM f LEFT JOIN (SELECT fid, CASE WHEN min(gap) = 0 THEN max(verdict) FILTER (gap = 0) WHEN count(*) = 1 THEN max(verdict) END AS verdict FROM near GROUP BY fid) v ON f.fid = v.fid")
 def label_lookup(spark, sf_dir):
     f = findings(spark, sf_dir)
-    labels = f.where("fid % 50 = 0 and cwe is not null").groupBy("file", "line", F.col("cwe").alias("tail")).agg(F.min("verdict").alias("verdict"))
+    labels = f.where("event_type = 'signup' and cwe is not null").groupBy("file", "line", F.col("cwe").alias("tail")).agg(F.min("verdict").alias("verdict"))
     return evaluate.label_lookup(f.select("fid", "file", "line", F.col("cwe").alias("tail")), labels).select("fid", "verdict")
 
 
@@ -208,13 +210,13 @@ def precision_by_source(spark, sf_dir):
     return evaluate.precision_by(rows.withColumn("verdict", F.when(F.col("quality") == 1, "TP").otherwise("FP")), "source")
 
 
-@query(""", ex AS (SELECT CAST(fid AS INT) AS idx, file, line, cwe FROM f WHERE fid % 200 = 1) SELECT idx, CASE WHEN count(b.fid) = 0 THEN 'missed' WHEN bool_or(NOT coalesce(b.fp_likelihood = 'HIGH', false)) THEN 'found' ELSE 'found_but_hidden' END AS status,
+@query(""", ex AS (SELECT CAST(fid AS INT) AS idx, file, line, cwe FROM f WHERE event_type = 'error') SELECT idx, CASE WHEN count(b.fid) = 0 THEN 'missed' WHEN bool_or(NOT coalesce(b.fp_likelihood = 'HIGH', false)) THEN 'found' ELSE 'found_but_hidden' END AS status,
  coalesce(list_sort(list(DISTINCT concat(b.file, ':', b.line)) FILTER (b.fid IS NOT NULL)), []) AS keys
- FROM ex LEFT JOIN f b ON ex.file = b.file AND abs(ex.line - b.line) <= 3 AND (ex.cwe IS NULL OR ex.cwe = b.cwe) AND b.fid % 7 = 0 GROUP BY idx""")
+ FROM ex LEFT JOIN f b ON ex.file = b.file AND abs(ex.line - b.line) <= 3 AND (ex.cwe IS NULL OR ex.cwe = b.cwe) GROUP BY idx""")
 def expected_recall(spark, sf_dir):
     f = findings(spark, sf_dir)
-    expected = f.where("fid % 200 = 1").select(F.col("fid").cast("int").alias("idx"), "file", "line", F.lit(3).alias("tol"), F.array_compact(F.array("cwe")).alias("cwe"))
-    found = f.where("fid % 7 = 0").select(F.concat("file", F.lit(":"), "line").alias("key"), "file", "line", "cwe", F.coalesce(F.col("fp_likelihood") == "HIGH", F.lit(False)).alias("hidden"))
+    expected = f.where("event_type = 'error'").select(F.col("fid").cast("int").alias("idx"), "file", "line", F.lit(3).alias("tol"), F.array_compact(F.array("cwe")).alias("cwe"))
+    found = f.select(F.concat("file", F.lit(":"), "line").alias("key"), "file", "line", "cwe", F.coalesce(F.col("fp_likelihood") == "HIGH", F.lit(False)).alias("hidden"))
     return evaluate.expected_recall(expected, found)
 
 
@@ -268,20 +270,20 @@ def cvss_score(spark, sf_dir):
     return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), C.cvss3(F.expr(_VECTOR)).alias("score"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT p_partkey AS u, p_partkey // 2 AS v FROM part WHERE p_partkey % 5 <> 0), up AS (SELECT p_partkey AS node, p_partkey AS pos FROM part UNION SELECT node, v FROM up JOIN e ON pos = u)
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS u, p_partkey // 2 AS v FROM part WHERE p_size > 10), up AS (SELECT p_partkey AS node, p_partkey AS pos FROM part UNION SELECT node, v FROM up JOIN e ON pos = u)
 SELECT node, min(pos) AS component FROM up WHERE node IN (SELECT u FROM e UNION SELECT v FROM e) GROUP BY node UNION SELECT DISTINCT v, v FROM e WHERE v NOT IN (SELECT p_partkey FROM part)""")
 def alias_components(spark, sf_dir):
-    p = _t(spark, sf_dir, "part").where("p_partkey % 5 <> 0")
+    p = _t(spark, sf_dir, "part").where("p_size > 10")
     return connected_components(p.select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 2").alias("dst")))
 
 
-@query(""", e AS (SELECT fid, unnest([concat('CVE-', fid % 300), concat('CVE-', fid % 170), 'GHSA-x']) AS cve FROM f), ep AS (SELECT concat('CVE-', p_partkey) AS cve, CAST(p_size AS DOUBLE) / 50 AS epss FROM part WHERE p_partkey % 3 = 0),
-kv AS (SELECT concat('CVE-', s_suppkey) AS cve FROM supplier WHERE s_suppkey % 9 = 0) SELECT fid, max(ep.epss) AS epss, bool_or(kv.cve IS NOT NULL) AS kev FROM e LEFT JOIN ep USING (cve) LEFT JOIN kv USING (cve) GROUP BY fid""")
+@query(""", e AS (SELECT fid, unnest([concat('CVE-', fid % 300), concat('CVE-', fid % 170), 'GHSA-x']) AS cve FROM f), ep AS (SELECT concat('CVE-', p_partkey) AS cve, CAST(p_size AS DOUBLE) / 50 AS epss FROM part WHERE p_size > 30),
+kv AS (SELECT concat('CVE-', s_suppkey) AS cve FROM supplier WHERE s_nationkey < 3) SELECT fid, max(ep.epss) AS epss, bool_or(kv.cve IS NOT NULL) AS kev FROM e LEFT JOIN ep USING (cve) LEFT JOIN kv USING (cve) GROUP BY fid""")
 def exploit_data(spark, sf_dir):
     ids = F.array(F.concat(F.lit("CVE-"), F.col("fid") % 300), F.concat(F.lit("CVE-"), F.col("fid") % 170), F.lit("GHSA-x"))
     rows = flat(spark, sf_dir).select("fid", ids.alias("ids"))
-    epss = _t(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.concat(F.lit("CVE-"), "p_partkey").alias("cve"), (F.col("p_size") / 50.0).alias("epss"))
-    kev = _t(spark, sf_dir, "supplier").where("s_suppkey % 9 = 0").select(F.concat(F.lit("CVE-"), "s_suppkey").alias("cve"))
+    epss = _t(spark, sf_dir, "part").where("p_size > 30").select(F.concat(F.lit("CVE-"), "p_partkey").alias("cve"), (F.col("p_size") / 50.0).alias("epss"))
+    kev = _t(spark, sf_dir, "supplier").where("s_nationkey < 3").select(F.concat(F.lit("CVE-"), "s_suppkey").alias("cve"))
     return threat.with_exploit_data(rows, "fid", "ids", epss, kev).select("fid", "epss", "kev")
 
 
@@ -306,18 +308,18 @@ def edited_pins(spark, sf_dir):
     return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), edit["line"].alias("line"))
 
 
-@query(""" , a AS (SELECT DISTINCT file, line FROM f WHERE fid % 3 = 0), b AS (SELECT DISTINCT file, line FROM f WHERE fid % 3 = 1), t AS (SELECT DISTINCT file, line FROM f WHERE fid % 6 = 0)
+@query(""" , a AS (SELECT DISTINCT file, line FROM f WHERE event_type IN ('signup', 'click')), b AS (SELECT DISTINCT file, line FROM f WHERE event_type IN ('click', 'error')), t AS (SELECT DISTINCT file, line FROM f WHERE event_type = 'signup')
 SELECT file, line, 'resolved' AS kind FROM t WHERE (file, line) NOT IN (SELECT file, line FROM b) UNION ALL SELECT file, line, 'remaining' FROM t WHERE (file, line) IN (SELECT file, line FROM b) UNION ALL SELECT file, line, 'introduced' FROM b WHERE (file, line) NOT IN (SELECT file, line FROM a)""")
 def verified_upgrades(spark, sf_dir):
     f = findings(spark, sf_dir)
-    return remediate.verify_upgrades(f.where("fid % 6 = 0"), f.where("fid % 3 = 0"), f.where("fid % 3 = 1"), ["file", "line"])
+    return remediate.verify_upgrades(f.where("event_type = 'signup'"), f.where("event_type IN ('signup', 'click')"), f.where("event_type IN ('click', 'error')"), ["file", "line"])
 
 
-@query(""", c AS (SELECT engine, file, CAST(count_if(fid % 3 = 0) AS BIGINT) AS before, CAST(count_if(fid % 3 = 1) AS BIGINT) AS after, CAST(count_if(fid % 12 = 0) AS BIGINT) AS fixed FROM f GROUP BY 1, 2)
+@query(""", c AS (SELECT engine, file, CAST(count_if(event_type IN ('signup', 'click')) AS BIGINT) AS before, CAST(count_if(event_type IN ('click', 'error')) AS BIGINT) AS after, CAST(count_if(event_type = 'signup') AS BIGINT) AS fixed FROM f GROUP BY 1, 2)
 SELECT *, CASE WHEN after > before THEN 'introduced' WHEN fixed > 0 AND after <= before - fixed THEN 'confirmed' WHEN fixed > 0 THEN 'still_there' ELSE 'unchanged' END AS status FROM c WHERE before + after + fixed > 0""")
 def counted_changes(spark, sf_dir):
     f = findings(spark, sf_dir)
-    return remediate.compare_counts(f.where("fid % 3 = 0"), f.where("fid % 3 = 1"), f.where("fid % 12 = 0"), ["engine", "file"])
+    return remediate.compare_counts(f.where("event_type IN ('signup', 'click')"), f.where("event_type IN ('click', 'error')"), f.where("event_type = 'signup'"), ["engine", "file"])
 
 
 # Graph ---------------------------------------------------------------------------------------------
@@ -331,23 +333,23 @@ def _edges(spark, sf_dir):
     return two.unionByName(p.where("p_partkey % 4 = 0 and p_partkey > 2").select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 3").alias("dst"))).distinct()
 
 
-@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT u AS start, v AS node, 1 AS hops FROM e WHERE u % 100 = 0 UNION SELECT start, v, hops + 1 FROM r JOIN e ON node = u) SELECT start, node, CAST(min(hops) AS INT) AS hops FROM r GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT u AS start, v AS node, 1 AS hops FROM e UNION SELECT start, v, hops + 1 FROM r JOIN e ON node = u) SELECT start, node, CAST(min(hops) AS INT) AS hops FROM r GROUP BY 1, 2")
 def reachable_nodes(spark, sf_dir):
-    starts = _t(spark, sf_dir, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("start"))
+    starts = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("start"))
     return graph.distances(_edges(spark, sf_dir), starts).withColumn("hops", F.col("hops").cast("int"))
 
 
-@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT p_partkey AS start, p_partkey AS node, [p_partkey] AS path FROM part WHERE p_partkey % 200 = 0 UNION ALL SELECT start, v, list_append(path, v) FROM r JOIN e ON node = u), k AS (SELECT *, row_number() OVER (PARTITION BY start, node ORDER BY len(path), path) AS rn FROM r) SELECT start, node, path FROM k WHERE rn = 1")
+@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT p_partkey AS start, p_partkey AS node, [p_partkey] AS path FROM part UNION ALL SELECT start, v, list_append(path, v) FROM r JOIN e ON node = u), k AS (SELECT *, row_number() OVER (PARTITION BY start, node ORDER BY len(path), path) AS rn FROM r) SELECT start, node, path FROM k WHERE rn = 1")
 def shortest_paths(spark, sf_dir):
-    starts = _t(spark, sf_dir, "part").where("p_partkey % 200 = 0").select(F.col("p_partkey").alias("start"))
+    starts = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("start"))
     return graph.shortest_paths(_edges(spark, sf_dir), starts)
 
 
-@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT v AS target, u AS node FROM e WHERE v % 25 = 0 AND v > 0 UNION SELECT target, u FROM r JOIN e ON node = v) SELECT p_partkey AS target, CAST(count(DISTINCT r.node) FILTER (r.node % 7 <> 0) AS BIGINT) AS blast_radius FROM part LEFT JOIN r ON target = p_partkey WHERE p_partkey % 25 = 0 GROUP BY 1")
+@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT v AS target, u AS node FROM e WHERE v > 0 UNION SELECT target, u FROM r JOIN e ON node = v) SELECT p_partkey AS target, CAST(count(DISTINCT r.node) FILTER (r.node % 7 <> 0) AS BIGINT) AS blast_radius FROM part LEFT JOIN r ON target = p_partkey GROUP BY 1")
 def blast_radius(spark, sf_dir):
     nodes = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id"), F.lit("FUNCTION").alias("kind"), (F.col("p_partkey") % 7 == 0).alias("is_test"))
     e = _edges(spark, sf_dir).select(F.col("src").alias("source_id"), F.col("dst").alias("target_id"))
-    return graph.blast_radius(e, nodes, nodes.where("node_id % 25 = 0").select(F.col("node_id").alias("target")))
+    return graph.blast_radius(e, nodes, nodes.select(F.col("node_id").alias("target")))
 
 
 @query(""" SELECT fid, CASE WHEN engine = 'dependency' THEN CASE WHEN NOT g AND kn THEN 'DEAD' WHEN NOT g THEN 'UNKNOWN' WHEN fw IS NOT NULL THEN ex WHEN ts THEN 'TEST' ELSE 'INTNL' END
@@ -370,13 +372,18 @@ def changed_scope(spark, sf_dir):
     return sets.changed_scope(f, changed).select("fid")
 
 
-@query(" SELECT fid, src, ord FROM (SELECT fid, 0 AS src, CAST(ord AS BIGINT) AS ord FROM f WHERE fid % 2 = 0 UNION ALL SELECT fid, 1, CAST(ord + 1099511627776 AS BIGINT) FROM f WHERE fid % 2 = 1)")
+@query(" SELECT fid, src, ord FROM (SELECT fid, 0 AS src, CAST(ord AS BIGINT) AS ord FROM f WHERE engine IN ('bandit', 'semgrep') UNION ALL SELECT fid, 1, CAST(ord + 1099511627776 AS BIGINT) FROM f WHERE engine NOT IN ('bandit', 'semgrep'))")
 def engine_union(spark, sf_dir):
     f = findings(spark, sf_dir)
-    return sets.union_in_order([f.where("fid % 2 = 0"), f.where("fid % 2 = 1")]).select("fid", "src", "ord")
+    return sets.union_in_order([f.where("engine IN ('bandit', 'semgrep')"), f.where("engine NOT IN ('bandit', 'semgrep')")]).select("fid", "src", "ord")
 
 
-@query("WITH q AS (SELECT source, greatest(1, CAST(floor(count(*) * 50 / CAST((SELECT count(*) FROM documents) AS DOUBLE) + 0.5) AS INT)) AS quota FROM documents GROUP BY 1), r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM documents) SELECT doc_id, r.source FROM r JOIN q ON r.source = q.source WHERE rn <= quota")
+@query("""WITH RECURSIVE g AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
+t AS (SELECT list(source ORDER BY source DESC) AS names, list(n ORDER BY source DESC) AS sizes, list(greatest(1, CAST(round_even(50.0e0 * n / (SELECT sum(n) FROM g), 0) AS BIGINT)) ORDER BY source DESC) AS quota FROM g
+ UNION ALL SELECT names, sizes, CASE WHEN list_sum(quota) > 50 THEN list_transform(quota, lambda x, k: CASE WHEN k = list_position(quota, list_max(quota)) THEN x - 1 ELSE x END)
+  ELSE list_transform(quota, lambda x, k: CASE WHEN k = list_position(list_transform(sizes, lambda z, j: z - quota[j]), list_max(list_transform(sizes, lambda z, j: z - quota[j]))) THEN x + 1 ELSE x END) END FROM t WHERE list_sum(quota) <> 50),
+q AS (SELECT unnest(names) AS source, unnest(quota) AS quota FROM t WHERE list_sum(quota) = 50),
+r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM documents) SELECT doc_id, source FROM r JOIN q USING (source) WHERE rn <= quota""")
 def stratified_sample(spark, sf_dir):
     return sets.stratified_sample(_t(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 50).select("doc_id", "source")
 
@@ -396,9 +403,15 @@ def report_results(spark, sf_dir):
     return report.results(findings(spark, sf_dir)).select("fid", "level", "uri", "suppressed")
 
 
-@query()
+@query(""" SELECT fid, array_to_string(list_filter([CASE WHEN blast_radius <> 0 THEN 'blast_radius' END, CASE WHEN churn <> 0 THEN 'churn' END, CASE WHEN code_health_penalty <> 0 THEN 'code_health_penalty' END, CASE WHEN cwe IS NOT NULL THEN 'cwe' END, 'description', 'engine', 'evidence',
+ CASE WHEN exploitability <> 0 THEN 'exploitability' END, CASE WHEN exposure IS NOT NULL THEN 'exposure' END, CASE WHEN kev OR suppressed THEN 'extra' END, 'file', CASE WHEN fp_likelihood IS NOT NULL THEN 'fp_likelihood' END, CASE WHEN fp_reason IS NOT NULL THEN 'fp_reason' END,
+ 'line', CASE WHEN reachable IS NOT NULL THEN 'reachable' END, 'severity', 'title'], lambda x: x IS NOT NULL), ',') AS members FROM f""")
 def sparse_json(spark, sf_dir):
-    return report.sparse_json(findings(spark, sf_dir))
+    f = findings(spark, sf_dir)
+    # Only what is set, so that some rows have no extra member at all.
+    bare = F.struct(*[(F.when(F.col(f"extra.{x.name}"), True) if x.name in ("kev", "suppressed") else F.lit(None).cast(x.dataType)).alias(x.name) for x in f.schema["extra"].dataType.fields])
+    rows = f.withColumn("extra", bare).select(*[x.name for x in FINDING.fields])
+    return report.sparse_json(rows).select("fid", F.array_join(F.array_sort(F.json_object_keys("json")), ",").alias("members"))
 
 
 @query("WITH x AS (SELECT doc_id, regexp_replace(text, '(token = \"[0-9a-f]{2})[0-9a-f]{36}([0-9a-f]{2}\")', '\\1****\\2', 'g') AS masked FROM documents) SELECT doc_id, md5(masked) AS digest FROM x")
@@ -409,13 +422,28 @@ def redacted_text(spark, sf_dir):
     return docs.select("doc_id", F.md5(F.when(F.size(found) > 0, masked).otherwise(F.col("text"))).alias("digest"))
 
 
-@query()
+_MORE = "CASE event_type WHEN 'view' THEN ' on Windows' WHEN 'click' THEN ' compute_etag' WHEN 'error' THEN ' in extract_zipped_paths' WHEN 'purchase' THEN ' ASGI request' ELSE ' with Proxy-Authorization' END"
+
+
+@query(""" SELECT fid, CASE WHEN kev THEN NULL ELSE coalesce(CASE WHEN why IS NOT NULL THEN 'HIGH' END, fp_likelihood) END AS fp_likelihood, CASE WHEN kev THEN NULL ELSE coalesce(why, fp_reason) END AS fp_reason FROM (SELECT *,
+ CASE WHEN (file LIKE 'tests/%' OR coalesce(exposure = 'TEST', false)) AND (coalesce(cwe = 'CWE-798', false) OR engine = 'secrets') THEN 'Mock test credential in test suite'
+ WHEN coalesce(cwe = 'CWE-328', false) AND event_type = 'click' THEN 'RFC 7232 AWS S3 ETag compliance (non-cryptographic checksum)'
+ WHEN engine = 'dependency' AND event_type = 'view' THEN 'Vulnerability only affects Windows environments (Linux deployment detected)'
+ WHEN engine = 'dependency' AND event_type = 'purchase' THEN 'Vulnerability only affects ASGI request handling (project runs on WSGI)'
+ WHEN engine = 'dependency' AND event_type = 'error' THEN 'Vulnerability only applies when package runs from a zip archive (extract_zipped_paths)'
+ WHEN engine = 'dependency' AND event_type = 'signup' THEN 'Vulnerability requires proxy configuration, but no proxy is configured' END AS why FROM f)""")
 def classified(spark, sf_dir):
     env = spark.range(1).select(F.lit(True).alias("is_linux"), F.lit(True).alias("is_wsgi_only"), F.lit(False).alias("has_proxy"))
-    return fp.classify(findings(spark, sf_dir), env).select("fid", "fp_likelihood", "fp_reason", "title")
+    rows = findings(spark, sf_dir).withColumn("description", F.concat("description", F.expr(_MORE)))
+    return fp.classify(rows, env).select("fid", "fp_likelihood", "fp_reason")
+
+
+_BASE_OF = "CASE substr(title, 1, 4) " + " ".join(f"WHEN '{k}' THEN {v[1]}e0" for k, v in T.RULES.items() if k < "B116") + " END"
+_LEVEL = "CASE k % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END"
+_CONF = "CASE user_id % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END"
 
 
-@query(""" SELECT fid, least(greatest(CASE level WHEN 'HIGH' THEN 8.0e0 WHEN 'MEDIUM' THEN 5.0e0 ELSE 2.5e0 END + CASE conf WHEN 'HIGH' THEN 0.5e0 WHEN 'LOW' THEN -0.5e0 ELSE 0.0e0 END, 1.0e0), 10.0e0) AS severity FROM (SELECT fid, CASE k % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS level, CASE fid % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS conf FROM f)""")
+@query(f""" SELECT fid, round(least(greatest(coalesce({_BASE_OF}, CASE {_LEVEL} WHEN 'HIGH' THEN 8.0e0 WHEN 'MEDIUM' THEN 5.0e0 ELSE 2.5e0 END) + CASE {_CONF} WHEN 'HIGH' THEN 0.5e0 WHEN 'LOW' THEN -0.5e0 ELSE 0.0e0 END, 1.0e0), 10.0e0), 1) AS severity FROM f""")
 def scanner_severity(spark, sf_dir):
-    level, conf = F.expr("CASE k % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END"), F.expr("CASE fid % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END")
-    return findings(spark, sf_dir).select("fid", C.scanner_severity(level, conf, F.lit(None).cast("string")).alias("severity"))
+    # Titles start with a test id: some have a calibration, of others the stated level counts.
+    return findings(spark, sf_dir).select("fid", C.scanner_severity(F.lower(F.expr(_LEVEL)), F.expr(_CONF), F.lower(F.substring("title", 1, 4))).alias("severity"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "strings": T.ArrayType(T.StringType()), "ints": T.ArrayType(T.IntegerType())}
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "strings": T.ArrayType(T.StringType()), "ints": T.ArrayType(T.IntegerType()),
+          "sources": T.ArrayType(T.StructType([T.StructField("engine", T.StringType()), T.StructField("rule", T.StringType()), T.StructField("severity", T.DoubleType()), T.StructField("cwe", T.StringType()), T.StructField("line", T.IntegerType())]))}
 
 
 def struct(text: str) -> T.StructType:
@@ -18,10 +19,10 @@ EXTRA = struct("""
   issue_severity string, issue_confidence string, line_range ints, file_role string, is_test_code boolean,
   is_sample_code boolean, rule string, secret_type string, fingerprint string, variable string,
   is_provider_token boolean, provider_prefix string, in_working_tree boolean, in_history boolean,
-  corroborating_engines strings, corroborated boolean, sources_count int, all_rules strings,
+  corroborating_engines strings, corroborated boolean, sources_count int, sources sources, all_rules strings,
   suppressed boolean, suppression_reason string, damping_multiplier double, is_ref_id boolean, rotated boolean,
   live_verified boolean, affected_status string, seed_classification string, exposure string, fp_likelihood string,
-  fp_reason string, attack_path strings, redacted boolean
+  fp_reason string, attack_path strings, redacted boolean, transitive_via string, context string, fp_blocked string, rule_title string
 """)
 
 FINDING = T.StructType([

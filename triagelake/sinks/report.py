@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import tables as T
 from ..functions.columns import band, report_level, report_uri
 from ..operators.score import ranked
+from ..operators.scratch import keep
 from ..operators.suppress import baseline_rows
 
+#: Findings in a baseline file.
+PER_BASELINE = 10_000
+
 
 def rule_id() -> Column:
     """By engine first, then advisory, weakness, and a slug of the title."""
@@ -53,13 +58,15 @@ def sarif(findings: DataFrame, version: str = "1.0") -> DataFrame:
 
 
 def sparse_json(findings: DataFrame) -> DataFrame:
-    """(fid, json): members that are null, empty or (of four measures) zero are left out."""
+    """(fid, json): members that are null, empty or (of four measures) zero are left out, as is an empty ``extra``."""
     cols = []
     for name, kind in findings.dtypes:
         c = F.col(name)
         if name in ("fid", "ord"):
             continue
-        if name in ("blast_radius", "churn", "code_health_penalty", "risk_score"):
+        if name == "extra":
+            c = F.when(F.to_json(c) != "{}", c)
+        if name in ("blast_radius", "churn", "code_health_penalty", "exploitability"):
             c = F.when(c != 0, c)
         elif kind == "string":
             c = F.nullif(c, F.lit(""))
@@ -72,7 +79,11 @@ def write_json(findings: DataFrame, path: str) -> None:
 
 
 def write_baseline(findings: DataFrame, path: str) -> None:
-    baseline_rows(findings).write.json(path)
+    """A folder of baseline files; each is an object of version 2 with at most ``PER_BASELINE`` findings."""
+    rows = keep(baseline_rows(findings), "baseline")
+    files = max(1, -(-rows.count() // PER_BASELINE))
+    dealt = rows.groupBy(F.pmod(F.xxhash64("fingerprint"), F.lit(files)).alias("file")).agg(F.collect_list(F.struct(*rows.columns)).alias("findings"))
+    dealt.select(F.to_json(F.struct(F.lit(2).alias("version"), "findings")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
 def summary(findings: DataFrame, k: int = 15) -> str:
@@ -85,10 +96,13 @@ def summary(findings: DataFrame, k: int = 15) -> str:
 
 
 def posture(findings: DataFrame) -> DataFrame:
-    """One row: counts by band and a badge."""
+    """One row: counts by band, the highest risk and a badge; what is suppressed doesn't count."""
     n = lambda b: F.count_if(band(F.col("severity")) == b).alias(b)
-    rows = findings.where(~F.coalesce("extra.suppressed", F.lit(False))).agg(n("critical"), n("high"), n("medium"), n("low"))
-    return rows.withColumn("badge", F.when(F.col("critical") > 0, "critical").when(F.col("high") > 0, "at risk").when(F.col("medium") > 0, "fair").otherwise("good"))
+    rows = findings.where(~F.coalesce("extra.suppressed", F.lit(False))).agg(n("critical"), n("high"), n("medium"), n("low"), F.coalesce(F.max("risk_score"), F.lit(0.0)).alias("max_risk"), F.count("*").alias("n"))
+    badge = F.lit("Clean Security Status")
+    for name, counted, risk in reversed([*T.BADGES, ("Low Risk", "n", float("inf"))]):
+        badge = F.when((F.col(counted) > 0) | (F.col("max_risk") >= risk), name).otherwise(badge)
+    return rows.withColumn("badge", badge).drop("n")
 
 
 def gate(findings: DataFrame, least: float = 7.0) -> bool:

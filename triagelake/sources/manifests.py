@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.columns import package_name, posix
+from ..operators.graph import distances
+from ..operators.scratch import keep
 
-#: Folders that are not searched.
-SKIPPED = r"(^|/)(\.git|\.hg|venv|\.venv|node_modules|__pycache__|\.tox)(/|$)"
-MANIFEST = r"(^|/)([^/]*requirements[^/]*\.(txt|in)|pyproject\.toml|poetry\.lock|Pipfile\.lock)$"
+#: Those folders, and the names of requirement files.
+SKIPPED = r"(^|/)(\.git|\.hg|venv|\.venv|env|node_modules|__pycache__|site-packages|\.tox|\.mypy_cache|\.pytest_cache|build|dist)/"
+MANIFEST = r"(^|/)((?i:([^/]*[-_.])?requirements([-_.][^/]*)?\.txt)|pyproject\.toml|poetry\.lock|Pipfile\.lock)$"
 
 
 def discover(spark: SparkSession, root: str, pattern: str = MANIFEST) -> DataFrame:
@@ -41,7 +43,22 @@ def requirements(files: DataFrame) -> DataFrame:
     whole = starts.groupBy("path", "nth").agg(F.min("k").alias("k"), F.array_sort(F.collect_list(F.struct("k", "line"))).alias("p"))
     text = F.array_join(F.transform("p", lambda s: F.regexp_replace(s["line"], r"\\\s*$", "")), " ")
     parsed = whole.select("path", (F.col("k") + 1).alias("line"), text.alias("text"), requirement(text).alias("r"))
-    return parsed.where("r is not null").select("r.name", "r.version", F.col("path").alias("file"), "line", F.monotonically_increasing_id().alias("ord"))
+    return parsed.where("r is not null").select("r.name", "r.version", F.col("path").alias("file"), "line")
+
+
+def with_includes(files: DataFrame, max_depth: int = 50) -> DataFrame:
+    """(root, path): the requirement files that each one reads, itself and those it includes in turn, each once whatever the cycles."""
+    known = files.select("path").distinct()
+    edges = keep(includes(files).select(F.col("path").alias("src"), _normal(F.col("included")).alias("dst")).join(known, F.col("dst") == F.col("path"), "left_semi"), "includes")
+    below = distances(edges, known.select(F.col("path").alias("start")), max_depth)
+    own = known.select(F.col("path").alias("root"), "path")
+    return own.unionByName(below.where("node <> start").select(F.col("start").alias("root"), F.col("node").alias("path")))
+
+
+def _normal(path: Column) -> Column:
+    """The path without . and .. parts; null if it leaves the root."""
+    step = lambda at, part: F.when(part.isin("", "."), at).when(part == "..", F.when(F.size(at) > 0, F.slice(at, 1, F.size(at) - 1))).otherwise(F.array_append(at, part))
+    return F.aggregate(F.split(posix(path), "/"), F.array().cast("array<string>"), step, lambda at: F.array_join(at, "/"))
 
 
 def includes(files: DataFrame) -> DataFrame:
@@ -56,7 +73,7 @@ def pipfile_lock(files: DataFrame) -> DataFrame:
     both = files.select("path", "text", F.from_json("text", kind).alias("v")).select("path", "text", F.map_concat(F.coalesce("v.default", F.create_map().cast("map<string,struct<version:string>>")), F.coalesce(F.map_filter("v.develop", lambda k, x: ~F.coalesce(F.map_contains_key("v.default", k), F.lit(False))), F.create_map().cast("map<string,struct<version:string>>"))).alias("m"))
     each = both.select("path", "text", F.explode("m").alias("name", "x"))
     before = F.call_function("substring_index", F.col("text"), F.concat(F.lit("\""), F.col("name"), F.lit("\"")), F.lit(1))
-    return each.select(package_name(F.col("name")).alias("name"), F.regexp_replace("x.version", "^==", "").alias("version"), F.col("path").alias("file"), F.size(F.split(before, "\n")).alias("line"), F.monotonically_increasing_id().alias("ord"))
+    return each.select(package_name(F.col("name")).alias("name"), F.regexp_replace("x.version", "^==", "").alias("version"), F.col("path").alias("file"), F.size(F.split(before, "\n")).alias("line"))
 
 
 def toml_manifests(files: DataFrame) -> DataFrame:
@@ -84,13 +101,21 @@ def toml_manifests(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["spec", "file", "line"])
 
     out = files.select("path", "text").mapInPandas(run, "spec string, file string, line int")
-    return out.select(requirement(F.col("spec")).alias("r"), "file", "line").where("r is not null").select("r.name", "r.version", "file", "line", F.monotonically_increasing_id().alias("ord"))
+    return out.select(requirement(F.col("spec")).alias("r"), "file", "line").where("r is not null").select("r.name", "r.version", "file", "line")
 
 
 def collect(files: DataFrame) -> DataFrame:
-    """All dependencies once each, the first in order."""
+    """All dependencies once each; ``ord`` numbers them by kind of manifest, file and line.
+
+    The kinds are requirement files, TOML manifests and lock files.
+    """
     name = F.element_at(F.split("path", "/"), -1)
     toml = files.where(name.isin("pyproject.toml", "poetry.lock"))
-    parts = [requirements(files.where(name.rlike(r"\.(txt|in)$"))), toml_manifests(toml), pipfile_lock(files.where(name == "Pipfile.lock"))]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return out.groupBy("name", "version", "file", "line").agg(F.min("ord").alias("ord"))
+    parts = [requirements(files.where(name.rlike(r"\.txt$"))), toml_manifests(toml), pipfile_lock(files.where(name == "Pipfile.lock"))]
+    out = None
+    for k, part in enumerate(parts):
+        part = part.withColumn("part", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    once = out.groupBy("name", "version", "file", "line").agg(F.min("part").alias("part"))
+    # Manifests are a bounded part of a tree; the numbers need one order over all of them.
+    return once.withColumn("ord", F.row_number().over(Window.orderBy("part", "file", "line", "name", "version")).cast("bigint")).drop("part")
