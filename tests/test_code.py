@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from triagelake.operators import dedup, evaluate, graph, sets
+from triagelake.operators import dedup, evaluate, graph, selection, sets
+from triagelake.plans import pipeline
 from triagelake.schema import finding
 from triagelake.sinks import report
 from triagelake.sources import manifests, python_source, reports, stored
@@ -156,3 +157,27 @@ def test_clusters_equal_a_plain_version(spark):
     merged = {r["fid"]: r for r in dedup.deduplicate(f).collect()}
     assert {c["lead"]["fid"]: (c["lead"]["severity"], sorted(c["lead"]["engines"])) for c in clusters} == {k: (r["severity"], sorted(r["extra"]["corroborating_engines"] or [r["engine"]])) for k, r in merged.items()}
     assert all(len(r["extra"]["sources"]) == r["extra"]["sources_count"] for r in merged.values() if r["extra"]["sources_count"])
+
+
+def test_selection_of_findings(spark):
+    f = finding(spark, [
+        {"engine": "bandit", "title": "B506: x", "file": "a.py", "line": 1, "ord": 0, "fix_hint": "Upgrade x from 1.0 to 10.0.1 or later.", "extra": {"test_id": "B506", "attack_path": ["in", "a\"b", "c"]}},
+        {"engine": "crypto", "title": "md5", "file": "a.py", "line": 2, "extra": {"rule": "weak-hash-md5", "context": "password"}}, {"engine": "crypto", "title": "md5", "file": "a.py", "line": 3, "extra": {"rule": "weak-hash-md5", "context": "general"}},
+        {"engine": "semgrep", "title": "Semgrep unsafe-load: y", "file": "b.py", "line": 4}, {"engine": "secrets", "title": "s", "file": "b.py", "line": 5}, {"engine": "secrets", "title": "s", "file": "b.txt"},
+    ])
+    e = F.col("extra")
+    got = f.select("fid", selection.patcher(F.col("engine"), F.col("title"), e).alias("p"), selection.target_version(F.col("fix_hint")).alias("v"), selection.rule_name(F.col("title"), e).alias("n")).orderBy("fid").collect()
+    assert [r["p"] for r in got] == ["B506", None, "B303", "B506", None, None] and got[0]["v"] == "10.0.1" and got[1]["v"] is None and got[3]["n"] == "Semgrep unsafe-load"
+    assert [tuple(r) for r in selection.not_automated(f).collect()] == [("secrets", 2), ("crypto weak-hash-md5", 1)]
+    assert [r["line"] for r in selection.fixable_secrets(f).collect()] == [5]
+    assert {r["fid"] for r in selection.uncovered(f, spark.createDataFrame([("a.py", 1, 2)], "file string, line int, end_line int")).collect()} == {2, 3, 4, 5}
+    assert [r["edge"] for r in selection.attack_paths(f).orderBy("at").collect()] == ['E0_0["in"] --> E0_1["a\'b"]', 'E0_1["a\'b"] --> E0_2["c"]']
+
+
+def test_scan_with_the_code_graph(spark, code):
+    rows, *tables = code
+    f = finding(spark, [{"engine": "bandit", "title": "t", "file": "./svc/core.py", "line": 4, "severity": 8.0}])
+    env = spark.range(1).select(F.lit(False).alias("is_linux"), F.lit(False).alias("is_wsgi_only"), F.lit(False).alias("has_proxy"))
+    penalties = spark.createDataFrame([("svc/core.py", 0.35)], "file string, penalty double")
+    out = pipeline.scan([f], spark.createDataFrame([], "fingerprint string"), spark.createDataFrame([], "file string, line int, text string"), env, code_graph=tuple(tables), penalties=penalties).first()
+    assert (out["reachable"], out["exposure"], out["blast_radius"], out["code_health_penalty"]) == (True, "HTTP", 1, 0.35) and out["risk_score"] > 0

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.columns import posix
+
 
 def churn_counts(log: DataFrame) -> DataFrame:
     """(path, commits, ord) from (ord, line) rows of a log that names a path per line."""
@@ -26,6 +28,14 @@ def churn_of(findings: DataFrame, churn: DataFrame) -> DataFrame:
     return findings.drop("churn").join(best, "file", "left").withColumn("churn", F.coalesce("v", F.lit(0.0))).drop("v")
 
 
+def health_of(findings: DataFrame, penalties: DataFrame) -> DataFrame:
+    """``findings`` with code_health_penalty from (file, penalty) rows; files without one have none."""
+    per_file = penalties.groupBy("file").agg(F.max("penalty").alias("_p"))
+    own = F.regexp_replace(posix(F.col("file")), r"^(\./)+", "")
+    out = findings.withColumn("_f", own).join(per_file.withColumnRenamed("file", "_f"), "_f", "left")
+    return out.withColumn("code_health_penalty", F.coalesce("_p", "code_health_penalty", F.lit(0.0))).select(*findings.columns)
+
+
 def high_churn(rows: DataFrame, least: float = 0.9) -> DataFrame:
     return rows.where(F.col("churn") >= least)
 
@@ -38,4 +48,4 @@ def health_penalty(features: DataFrame) -> DataFrame:
     return features.withColumn("penalty", F.round(F.least(F.lit(1.0), loc + nesting + few("bare_excepts") + few("long_functions")), 2))
 
 
-__all__ = ["churn_counts", "churn_of", "health_penalty", "high_churn", "normalised"]
+__all__ = ["churn_counts", "churn_of", "health_of", "health_penalty", "high_churn", "normalised"]

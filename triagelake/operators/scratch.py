@@ -1,13 +1,15 @@
 """Cutting lineage with tables in the folder that all executors share.
 
-The folder is ``spark.checkpoint.dir``.  Only where a session has none (tests,
-notebooks) a folder of this machine is made and set.  Files are written and
+The folder is ``spark.checkpoint.dir``.  Only where a session has none and runs
+on this machine alone (tests, notebooks) a local folder is made and set; on a
+cluster its absence is an error.  Files are written and
 removed through Hadoop's file system API, so any store Spark can reach will do.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -21,6 +23,8 @@ def shared_root(spark: SparkSession) -> str:
     """The shared folder of this session, ending without a slash."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="triagelake-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
