@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import columns as C
 from ..functions import tables as T
-from ..operators import dedup, evaluate, fp, graph, health, remediate, score, sets, suppress, threat
+from ..operators import dedup, evaluate, fp, graph, health, remediate, score, secrets, sets, suppress, threat
 from ..operators.components import connected_components
 from ..schema import FINDING
-from ..sinks import report
+from ..sinks import report, texts
 from .harness import F_CTE, findings, flat
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -447,3 +447,40 @@ _CONF = "CASE user_id % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END
 def scanner_severity(spark, sf_dir):
     # Titles start with a test id: some have a calibration, of others the stated level counts.
     return findings(spark, sf_dir).select("fid", C.scanner_severity(F.lower(F.expr(_LEVEL)), F.expr(_CONF), F.lower(F.substring("title", 1, 4))).alias("severity"))
+
+
+_Q = lambda p: "'" + p.replace("'", "''") + "'"
+_FORMATS = " UNION ALL ".join(f"SELECT doc_id, line, '{r}' AS rule, CAST(NULL AS VARCHAR) AS variable, unnest(regexp_extract_all(t, {_Q(p)})) AS v, true AS is_provider_token FROM l" for r, p in secrets.FORMATS.items())
+_NO_FORMAT = " AND ".join(f"NOT regexp_matches(v, {_Q(p)})" for p in secrets.FORMATS.values())
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, CAST(unnest(range(len(string_split(text, chr(10))))) AS INT) AS line FROM documents),
+a AS (SELECT doc_id, line, 'assigned-secret' AS rule, regexp_extract(m, {_Q(secrets.ASSIGNED)}, 1) AS variable, concat(regexp_extract(m, {_Q(secrets.ASSIGNED)}, 2), regexp_extract(m, {_Q(secrets.ASSIGNED)}, 3)) AS v, false AS is_provider_token
+ FROM (SELECT doc_id, line, unnest(regexp_extract_all(t, {_Q(secrets.ASSIGNED)})) AS m FROM l)),
+u AS (SELECT *, round(list_aggregate(string_split(v, ''), 'entropy'), 4) AS entropy FROM (SELECT * FROM a WHERE {_NO_FORMAT} AND NOT regexp_matches(v, {_Q(C.PLACEHOLDER)}) UNION ALL {_FORMATS}))
+SELECT doc_id, line, rule, variable, CASE WHEN length(v) <= 8 THEN '****' ELSE concat(left(v, 2), '****', right(v, 2)) END AS masked, entropy, is_provider_token FROM u WHERE is_provider_token OR entropy >= {secrets.LEAST_ENTROPY}""")
+def secret_rows(spark, sf_dir):
+    lines = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return secrets.detect(lines).select("doc_id", "line", "rule", "variable", "masked", "entropy", "is_provider_token")
+
+
+@query(""" SELECT rule_id, arg_min(title, ord) AS title, arg_min(concat(title, chr(10), chr(10), 'Engine: ', engine, chr(10), 'Severity: ', printf('%.1f', severity), ' / 10.0', chr(10), 'Risk Score: 0.00 / 100.0', chr(10), 'CWE: ', coalesce(cwe, 'N/A'), chr(10), 'Exposure: ', coalesce(exposure, 'N/A'),
+ chr(10), chr(10), 'Remediation:', chr(10), 'Review the affected code and apply standard security mitigations.', chr(10), chr(10), 'Details:', chr(10), description), ord) AS text
+ FROM (SELECT *, coalesce(nullif(cwe, ''), concat(engine, '-', trim(regexp_replace(substr(title, 1, 32), '[^A-Za-z0-9_-]', '-', 'g'), '-'))) AS rule_id FROM f) GROUP BY 1""")
+def rule_help(spark, sf_dir):
+    return texts.rule_help(findings(spark, sf_dir)).select("rule_id", F.substring_index("text", "\n", 1).alias("title"), "text")
+
+
+@query(""" SELECT fid, coalesce(exposure, CASE WHEN reachable THEN 'YES' WHEN NOT reachable THEN 'NO' ELSE '?' END) AS reach, CASE WHEN length(concat(file, ':', line)) > 28 THEN concat('...', right(concat(file, ':', line), 25)) ELSE concat(file, ':', line) END AS location,
+ concat(CASE WHEN fp_likelihood = 'HIGH' THEN '[FP?] ' ELSE '' END, title) AS title FROM f""")
+def console_rows(spark, sf_dir):
+    return texts.table_rows(findings(spark, sf_dir)).select("fid", "reach", "location", "title")
+
+
+@query(""", k AS (SELECT concat(engine, ':', title) AS key, min(file) AS file FROM f GROUP BY 1), v AS (SELECT concat(engine, ':', title) AS key, coalesce(max(verdict), '') AS verdict FROM f WHERE title LIKE 'B10%' GROUP BY 1 UNION ALL SELECT 'gone', 'FP')
+ SELECT key, CAST(CASE WHEN k.key IS NULL THEN 3 WHEN coalesce(verdict, '') <> '' THEN 2 ELSE 1 END AS INT) AS part, coalesce(verdict, '') AS verdict FROM k FULL JOIN v USING (key)""")
+def label_entries(spark, sf_dir):
+    f = findings(spark, sf_dir).withColumn("key", F.concat("engine", F.lit(":"), "title"))
+    labels = f.where("title LIKE 'B10%'").groupBy("key").agg(F.coalesce(F.max("verdict"), F.lit("")).alias("verdict")).withColumn("note", F.lit(""))
+    labels = labels.unionByName(spark.range(1).select(F.lit("gone").alias("key"), F.lit("FP").alias("verdict"), F.lit("").alias("note")))
+    return texts.label_template(f, labels).where("part > 0").select("key", "part", F.regexp_extract("text", '\\{verdict: "([A-Z]*)"', 1).alias("verdict"))
