@@ -2,11 +2,13 @@
 
 import ast
 
+import pytest
 from pyspark.sql import Row, functions as F
 
-from triagelake.operators import evaluate, patch, remediate, secrets, selection, suggest
+from triagelake.operators import evaluate, fp, patch, remediate, secrets, selection, suggest
 from triagelake.schema import finding
 from triagelake.sinks import texts
+from triagelake.sources import constants
 
 CODE = '"""Doc."""\nfrom __future__ import annotations\n\n\n@deco\ndef f():\n    api_key = "abcd1234efgh"\n    connect(password="hunter2!x", user="u")\n    return {"token": "tok-9f8e7d6c"}\n'
 
@@ -97,3 +99,29 @@ def test_evaluation_text(spark):
     text = texts.evaluation(cover, evaluate.precision_by(rows, "engine").collect(), {"found": 1, "missed": 1}, safe, {"risk": Row(p5=0.5, ap=0.75)}, "r")
     assert "| 4 | 3 (75.0%) | 0 | 1 | 2 | 1 |" in text and "| bandit | 1 | 1 | 50.0% |" in text and "1 of 2 known" in text and "PASS" in text and "| risk | 50.0% | 75.0% |" in text
     assert texts.evaluation_summary(cover, {}, safe).count("\n") == 2 and "n/a" not in text
+
+
+@pytest.mark.parametrize(("code", "safe"), [
+    ('cur.execute("SELECT 1")', True), ('t = "users"\ncur.execute(f"SELECT * FROM {t}")', True), ('def f(t):\n    cur.execute(f"SELECT * FROM {t}")', False), ('import t\ncur.execute("SELECT * FROM " + t.x)', False),
+    ('cur.execute("SELECT %s" % request.args["a"])', False), ('M = {"a": "x"}\ncur.execute(f"SELECT {M[k]}")', True), ('M = {"a": f(1)}\ncur.execute(f"SELECT {M[k]}")', False), ('cur.execute("SELECT {}".format(Cols.NAME))', True),
+    ('for c in ["a", "b"]:\n    cur.execute(f"ALTER TABLE t ADD {c}")', True), ('for c in cols():\n    cur.execute(f"ALTER TABLE t ADD {c}")', False), ('L = [("a", "INT")]\nfor c, k in L:\n    cur.execute(f"ALTER TABLE t ADD {c} {k}")', True),
+    ('L = [("a", g())]\nfor c, k in L:\n    cur.execute(f"ALTER TABLE t ADD {c} {k}")', False), ('a = b\nb = a\ncur.execute(a)', False), ('q = "select 1".upper()\nprint(q)', True), ('x = 1', False), ('t = "a"\nt = input()\ncur.execute(t)', False),
+])
+def test_sql_of_constants(code, safe):
+    assert constants.sql_is_constant(ast.parse(code), code.count("\n") + 1) is safe
+
+
+@pytest.mark.parametrize(("code", "sensitive"), [("hashlib.md5(body)", False), ("hashlib.md5(userPassword)", True), ("x = user.password.encode()\ny = x\nh = hashlib.md5(y)", True), ("def check_token(v):\n    return hashlib.md5(v)", True), ("def etag(v):\n    return hashlib.md5(v)", False)])
+def test_hashes_of_sensitive_data(code, sensitive):
+    assert constants.hashes_sensitive_data(ast.parse(code), code.count("\n") + 1) is sensitive
+
+
+def test_source_analysis_in_the_classification(spark):
+    files = spark.createDataFrame([("a.py", 't = "users"\ncur.execute(f"CREATE TABLE {t}")\n\n\n\n\n\n\n\n\n\ndef compute_etag(x):\n    return md5(x)\n')], "path string, text string")
+    row = lambda file, line, cwe, evidence: {"engine": "bandit", "title": "t", "file": file, "line": line, "cwe": cwe, "evidence": evidence}
+    f = finding(spark, [row("./a.py", 2, "CWE-89", "CREATE TABLE {t}"), row("a.py", 13, "CWE-328", "etag = md5(secret)"), row("gone.py", 1, "CWE-89", 'cur.execute("SELECT 1")'), row("gone.py", 2, "CWE-89", "28 29 x(")])
+    told = constants.judged(f, files)
+    assert {r["fid"]: (r["sql_constant"], r["hash_sensitive"]) for r in told.collect()} == {0: (True, False), 1: (False, False), 2: (True, False), 3: (False, False)}
+    env = spark.range(1).select(F.lit(True).alias("is_linux"), F.lit(True).alias("is_wsgi_only"), F.lit(True).alias("has_proxy"))
+    got = {r["fid"]: r["fp_reason"] for r in fp.classify(f, env, (), told.where("sql_constant"), told).collect()}
+    assert got[0].startswith("DDL") and "ETag" in got[1] and got[2].startswith("Dynamic") and got[3] is None

@@ -49,11 +49,12 @@ def environment(files: DataFrame) -> DataFrame:
     )
 
 
-def classify(findings: DataFrame, env: DataFrame, training_paths: tuple[str, ...] = (), sql_safe: DataFrame | None = None) -> DataFrame:
+def classify(findings: DataFrame, env: DataFrame, training_paths: tuple[str, ...] = (), sql_safe: DataFrame | None = None, hashes: DataFrame | None = None) -> DataFrame:
     """Fill fp_likelihood, fp_reason and their extra members by the first rule that holds.
 
     ``env``: the one row of :func:`environment`.  ``sql_safe``: fid of findings
-    whose interpolated parts are all constants, from the source analysis.
+    whose interpolated parts are all constants, ``hashes``: (fid, hash_sensitive),
+    both from the source analysis; without the latter the evidence's names decide.
     """
     e, file = F.col("extra"), F.regexp_replace(posix(F.coalesce("file", F.lit(""))), r"^(\./)+", "")
     text = F.concat_ws(" ", "title", "description", "evidence")
@@ -66,12 +67,14 @@ def classify(findings: DataFrame, env: DataFrame, training_paths: tuple[str, ...
     weak_hash = F.coalesce(F.col("cwe").isin("CWE-327", "CWE-328"), F.lit(False)) | F.contains("title", F.lit("B324"))
     etag = weak_hash & text.rlike(ETAG_WORDS)
     sensitive = F.exists(F.regexp_extract_all(F.coalesce("evidence", F.lit("")), F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)), sensitive_identifier)
+    sensitive = F.coalesce("_sensitive", sensitive)
     sql = F.coalesce(F.col("cwe") == "CWE-89", F.lit(False)) | F.contains("title", F.lit("B608")) | F.contains(F.lower(F.coalesce(e["check_id"], F.lit(""))), F.lit("sql"))
     ddl = F.coalesce("evidence", F.lit("")).rlike(r"(?i)\b(ALTER|CREATE|DROP)\s+TABLE\b|\bPRAGMA\b")
     dependency = F.col("engine") == "dependency"
     some = lambda words: F.exists(strings(words), lambda w: F.contains(low, w))
     rows = findings.crossJoin(F.broadcast(env.limit(1)))  # one row
     rows = rows.join(sql_safe.select("fid").distinct().withColumn("_safe", F.lit(True)), "fid", "left") if sql_safe is not None else rows.withColumn("_safe", F.lit(False))
+    rows = rows.join(hashes.select("fid", F.col("hash_sensitive").alias("_sensitive")), "fid", "left") if hashes is not None else rows.withColumn("_sensitive", F.lit(None).cast("boolean"))
     case = lambda level, reason: F.struct(F.lit(level).alias("level"), (reason if isinstance(reason, Column) else F.lit(reason)).alias("reason"))
     prng = F.coalesce(F.col("cwe") == "CWE-330", F.lit(False)) | F.contains("title", F.lit("B311"))
     is_ref = prng & ~text.rlike(SECURITY_WORDS) & (text.rlike(REFERENCE_WORDS) | text.rlike(r"['\"][A-Z]+-['\"]"))

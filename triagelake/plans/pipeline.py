@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import credential_literals, is_test_path, replace_all
 from ..operators import dedup, fp, graph, health, score, sets, suppress
+from ..operators.scratch import keep
+from ..sources import constants
 from .harness import findings
 
 
@@ -19,12 +21,14 @@ def redact(rows: DataFrame) -> DataFrame:
     return out.select(*[(extra if c == "extra" else F.col(f"_{c}") if c in masked else F.col(c)).alias(c) for c in rows.columns])
 
 
-def scan(parts: list[DataFrame], baseline: DataFrame, source_lines: DataFrame, env: DataFrame, churn: DataFrame | None = None, code_graph: tuple[DataFrame, DataFrame, DataFrame] | None = None, components: DataFrame | None = None, penalties: DataFrame | None = None, exclude_tests: bool = False, hide_fp: bool = False, changed: DataFrame | None = None, training_paths: tuple[str, ...] = (), weights: dict[str, float] | None = None) -> DataFrame:
+def scan(parts: list[DataFrame], baseline: DataFrame, source_lines: DataFrame, env: DataFrame, churn: DataFrame | None = None, code_graph: tuple[DataFrame, DataFrame, DataFrame] | None = None, components: DataFrame | None = None, penalties: DataFrame | None = None, files: DataFrame | None = None, exclude_tests: bool = False, hide_fp: bool = False, changed: DataFrame | None = None, training_paths: tuple[str, ...] = (), weights: dict[str, float] | None = None) -> DataFrame:
     """Findings of all engines: suppressed, merged, enriched, classified, scored, filtered, redacted and ranked.
 
     ``code_graph``: nodes, edges and entry points of ``python_source.graph_tables``,
     from which reachability, exposure and blast radius follow; ``components``: the
-    map of :func:`..operators.graph.component_used`; ``penalties``: (file, penalty).
+    map of :func:`..operators.graph.component_used`; ``penalties``: (file, penalty);
+    ``files``: (path, text), by which SQL made of constants and hashes of sensitive
+    data are told.
     """
     rows = sets.union_in_order(parts).drop("src")
     rows = dedup.deduplicate(suppress.split(suppress.suppress(rows, baseline, source_lines))[0])
@@ -34,7 +38,8 @@ def scan(parts: list[DataFrame], baseline: DataFrame, source_lines: DataFrame, e
         rows = graph.expose(rows, *code_graph, components)
     if penalties is not None:
         rows = health.health_of(rows, penalties)
-    rows = score.score(fp.classify(rows, env, training_paths), weights)
+    told = keep(constants.judged(rows, files), "judged") if files is not None else None
+    rows = score.score(fp.classify(rows, env, training_paths, *([told.where("sql_constant"), told] if files is not None else [])), weights)
     if exclude_tests:
         rows = rows.where(~(is_test_path(F.col("file")) | F.coalesce(F.col("exposure") == "TEST", F.lit(False))))
     if hide_fp:
