@@ -95,6 +95,37 @@ def test_blast_radius_without_a_graph(spark, code):
     assert {r["pid"]: r["blast_radius"] for r in graph.fallback_blast(points, code[0]).collect()} == {1: 1, 2: 2, 3: 0, 4: 1}
 
 
+def test_smallest_spans_equal_a_plain_version(spark):
+    rng = random.Random(8)
+    spans = [(rng.choice("ab"), f"s{k}", a := rng.randint(-40, 300), a + rng.choice([-1, 0, 1, 6, 7, 30, 127, 128, 200]), k) for k in range(160)] + [("c", "all", -(2**31), 2**31 - 1, 1), (None, "x", 1, 9, 2), ("d", "late", 5, 9, 4), ("d", "early", 1, 5, 3)]
+    points = [(k, rng.choice("abcd"), rng.randint(-60, 500)) for k in range(600)] + [(900, "c", 2**31 - 1), (901, "c", -(2**31)), (902, "d", 5), (903, None, 5), (904, "d", None), (905, "d", 1), (905, "d", 9), (905, "c", 9)]
+    want: dict = {}
+    for pid, file, line in points:
+        for f, name, start, end, ord_ in spans:
+            if line is not None and f is not None and f == file and start <= line <= end:
+                want[pid] = min(want.get(pid, (9e9,)), (end - start, ord_, name))
+    out = graph.enclosing(spark.createDataFrame(points, "pid long, file string, line int"), spark.createDataFrame(spans, "file string, name string, start int, end int, ord int"))
+    assert sorted(tuple(r) for r in out.collect()) == sorted((pid, best[-1]) for pid, best in want.items())
+
+
+def test_rows_of_enclosing_grow_with_points_and_spans_not_their_product(spark):
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    points = spark.range(3000).select(F.col("id").alias("pid"), F.lit("a.py").alias("file"), (F.col("id") % 50).cast("int").alias("line"))
+    spans = spark.range(3000).select(F.lit("a.py").alias("file"), F.concat(F.lit("s"), "id").alias("name"), (-F.col("id") % 40).cast("int").alias("start"), (F.col("id") % 90 + 10).cast("int").alias("end"), F.col("id").alias("ord"))
+    assert graph.enclosing(points, spans).count() == 3000
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    made = 0
+    runs = store.executionsList(before, 1000)
+    for k in range(runs.size()):
+        run = runs.apply(k)
+        values, metrics = store.executionMetrics(run.executionId()), run.metrics()
+        for m in (metrics.apply(j) for j in range(metrics.size())):
+            if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                made = max(made, int(values.apply(m.accumulatorId()).replace(",", "")))
+    assert 3000 <= made < 60_000
+
+
 def test_included_requirements_and_their_order(spark):
     files = spark.createDataFrame([("requirements.txt", "-r req/base.txt\nz==1"), ("req/base.txt", "-r ../requirements.txt\na==1"), ("requirements-dev.txt", "b==2")], "path string, text string")
     got = {(r["root"], r["path"]) for r in manifests.with_includes(files).collect()}

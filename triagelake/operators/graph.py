@@ -14,11 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import tables as T
 from ..functions.columns import is_test_path, lookup, package_name, posix
-from .scratch import keep
-
-
-#: Lines of a block in range joins.
-BLOCK_LINES = 64
+from .scratch import drop, keep
 
 
 def merge_edges(edges: DataFrame, order: str = "seq") -> DataFrame:
@@ -136,11 +132,20 @@ def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
 
     ``points``: pid, file, line.  ``spans``: file, name, start, end, ord.
     """
-    # Spans are posted in every block of lines they touch, so that a point meets those of its block only.
-    block = lambda c: F.floor(c / F.lit(BLOCK_LINES)).cast("int")
-    posted = spans.where("start <= end").withColumnRenamed("file", "f").withColumn("b", F.explode(F.sequence(block(F.col("start")), block(F.col("end")))))
-    met = points.join(posted, (F.col("file") == F.col("f")) & (block(F.col("line")) == F.col("b")) & F.col("line").between(F.col("start"), F.col("end")))
-    return met.groupBy("pid").agg(F.min_by("name", F.struct(F.col("end") - F.col("start"), "ord")).alias("name"))
+    # A span is cut into the aligned ranges of 2^level lines that make it up, two a level at most.  Each range keeps
+    # the best of its spans, and a line meets one range a level: rows grow with points and spans, not with their product.
+    long = lambda c: F.col(c).cast("bigint")
+    own = spans.where("start <= end").select("file", long("start").alias("start"), (long("end") + 1).alias("past"), F.struct((long("end") - long("start")).alias("size"), "ord", "name").alias("best"))
+    inside = own.withColumn("level", F.explode(F.expr("sequence(0, length(bin(past - start)) - 1)"))).select("file", "level", F.expr("-shiftright(-start, level)").alias("first"), F.expr("shiftright(past, level)").alias("after"), "best").where("first < after")
+    ends = F.array(F.when(F.col("first").bitwiseAND(1) == 1, F.col("first")), F.when(F.col("after").bitwiseAND(1) == 1, F.col("after") - 1))
+    ranges = inside.withColumn("at", F.explode(F.array_compact(ends))).groupBy("file", "level", "at").agg(F.min("best").alias("best"))
+    ranges = keep(ranges, "span-ranges")
+    lines = points.where("file is not null and line is not null").select("pid", "file", F.col("line").cast("bigint").alias("line"))
+    asked = lines.select("file", "line").distinct().crossJoin(F.broadcast(ranges.select("level").distinct())).withColumn("at", F.expr("shiftright(line, level)"))
+    around = keep(asked.join(ranges, ["file", "level", "at"]).groupBy("file", "line").agg(F.min("best").alias("best")), "span-lines")
+    drop(ranges)
+    # Rows of one pid are one point.
+    return lines.join(around, ["file", "line"]).groupBy("pid").agg(F.min("best").alias("best")).select("pid", F.col("best.name").alias("name"))
 
 
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
