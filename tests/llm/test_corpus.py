@@ -483,6 +483,25 @@ def test_ann_recall_at_the_real_share(spark):
     assert len(got) == 90 and hit / (90 * 20) >= 0.9
 
 
+def test_ann_memory_of_a_batch(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    x = np.random.default_rng(3).normal(size=(10_000, 8))
+    few = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(x[:1100])], "vec_id long, embedding array<double>")
+    posts, real = [], type(few).mapInArrow
+    monkeypatch.setattr(type(few), "mapInArrow", lambda self, f, *a, **b: posts.append(f) or real(self, f, *a, **b))
+    index = ann.Index(few, pivots=1024)
+    batch = pa.RecordBatch.from_pydict({"vec_id": list(range(10_000)), "block": pa.array([0] * 10_000, pa.int32()), "v": x.tolist()})
+    tracemalloc.start()
+    (out,) = posts[0](iter([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = ann.nearest(ann.lift(x, index.largest) @ index.pivots.T, 64)
+    assert out["perm"].to_pylist() == [p.tobytes() for p in want] and most < 30e6  # all products at once are 82 MB
+
+
 def test_ann_small_and_empty(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 3.0])], "vec_id long, embedding array<double>")
     index = ann.Index(few)

@@ -72,8 +72,7 @@ class Index:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                near = lift(_matrix(batch["v"], dim), largest) @ pivot.T
-                perm = nearest(near, l)
+                perm = permutations(lift(_matrix(batch["v"], dim), largest), pivot, l)
                 yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["block"], batch["v"], pa.array([p.tobytes() for p in perm], pa.binary())], ["vec_id", "block", "v", "perm"])
 
         self.table = keep(rows.select("vec_id", block.alias("block"), "v").mapInArrow(post, "vec_id bigint, block int, v array<double>, perm binary"), "ann-index")
@@ -103,7 +102,7 @@ class Index:
                 files = inverted(perm, len(pivot))
                 q = _matrix(queries["v"], dim)
                 unit = np.c_[q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros(len(q))]
-                order = nearest(unit @ pivot.T, l)
+                order = permutations(unit, pivot, l)
                 take = min(len(x), max(16 * k, int(np.ceil(share * len(x)))) + 1)
                 for i, (query, own) in enumerate(zip(queries["vec_id"].to_pylist(), queries["own"].to_pylist(), strict=True)):
                     cand = candidates(order[i], files, len(x), l, take)
@@ -135,6 +134,11 @@ def nearest(near: np.ndarray, l: int) -> np.ndarray:
     return np.take_along_axis(some, order, axis=1).astype(np.uint16)
 
 
+def permutations(x: np.ndarray, pivot: np.ndarray, l: int, rows: int = 256) -> np.ndarray:
+    """For each row of ``x`` its ``l`` nearest pivots; so many ``rows`` at a time, as each has a number for every pivot."""
+    return np.concatenate([nearest(x[at : at + rows] @ pivot.T, l) for at in range(0, len(x), rows)])
+
+
 def inverted(perm: np.ndarray, pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The posting lists of all pivots one after the other: rows, each one's rank of the pivot, and where lists start."""
     l = perm.shape[1]
